@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,69 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    findings, _ = secrets.incremental_scan(docs)
+    return secrets.report(docs, findings)
+
+
 QUERIES = {
+    "op6_curriculum": op6_curriculum,
+    "op10_secrets": op10_secrets,
     "op5_minhash": op5_minhash,
 }
 
+_SPANS = """
+  SELECT doc_id, '{kind}' AS kind, {nth} AS nth, list_sum([length(x) FOR x IN steps[1:i]]) - length(matches[i]) AS s, list_sum([length(x) FOR x IN steps[1:i]]) AS e, matches[i] AS m
+  FROM (SELECT doc_id, steps, matches, unnest(range(1, len(steps) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s)(?:.*?)(?:{pattern})', 0) AS steps, regexp_extract_all(coalesce(text, ''), '(?s)(?:.*?)({pattern})', 1) AS matches FROM documents))
+  WHERE {keep}"""
+_ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?"""
+_KINDS = [
+    ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(matches[i], '{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(matches[i]) >= 20"),
+    ("hex", "[0-9a-f]+", "length(matches[i]) >= 24"),
+    ("prefixed", "(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]+", "length(matches[i]) >= 20"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(matches[i]) >= 30"),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "length(matches[i]) >= 20"),
+]
+
 ORACLES = {
+    "op10_secrets": "WITH spans AS (" + " UNION ALL ".join(_SPANS.format(kind=k, nth=n, pattern=p, keep=w) for n, (k, p, w) in enumerate(_KINDS)) + """),
+joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) FILTER (nth < 3), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""",
+    "op6_curriculum": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS rank FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS kind FROM sums),
+weighted AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][kind + 1] AS weight, source_size * 3 AS cap, sum(source_size) OVER () AS total FROM ranked),
+levels AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavier FROM weighted),
+flagged AS (SELECT *, cap * heavier < CAST(total - below AS DOUBLE) * weight AS capped FROM levels),
+targets AS (
+  SELECT source, kind, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE)
+    ELSE CAST(total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS DOUBLE) * weight / sum(CASE WHEN capped THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target FROM flagged),
+placed AS (
+  SELECT doc_id, size, source_size, kind, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY rank, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taking AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(CAST(goal AS DOUBLE) / source_size) AS BIGINT) ELSE 0 END AS whole FROM placed),
+mixed AS (SELECT *, CAST(whole * size + least(greatest(goal - whole * source_size - start, 0), size) AS BIGINT) AS taken, least(CAST(start AS DOUBLE) / nullif(goal, 0), 1.0) AS y FROM taking)
+SELECT doc_id, size, source_size, target, taken,
+  round(CASE WHEN taken = 0 THEN NULL WHEN kind = 0 THEN 2 * (y * 5) / (5 + sqrt(25.0::DOUBLE)) WHEN kind = 1 THEN 2 * (y * 2) / (1 + sqrt(1 + 4 * (y * 2))) ELSE 2 * y / (1.5 + sqrt(2.25 - 2 * y)) END, 6) AS position
+FROM mixed""",
     "op5_minhash": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
