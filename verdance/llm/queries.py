@@ -43,7 +43,7 @@ _KINDS = [
     ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(matches[i], '{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
     ("access", "AKIA[A-Z0-9]+", "length(matches[i]) >= 20"),
     ("hex", "[0-9a-f]+", "length(matches[i]) >= 24"),
-    ("prefixed", "(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]+", "length(matches[i]) >= 20"),
+    ("prefixed", "(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{20,}", "length(matches[i]) >= 20"),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(matches[i]) >= 30"),
     ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "length(matches[i]) >= 20"),
 ]

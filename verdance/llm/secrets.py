@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its matches are leftmost and do not overlap; those whose measured group is too short are dropped after."""
+    """A kind of secret: its matches are leftmost and do not overlap; those whose measured group is too short are dropped after.
+
+    Where the rest of a match is one greedy run of a class, a bound inside the pattern finds the same spans as dropping
+    short matches after, as no later start within the run can be longer; it spares listing every short run.
+    """
 
     kind: str
     pattern: str
@@ -26,12 +30,12 @@ class Rule:
 
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
+    Rule("hex", r"[0-9a-f]{24,}", 24),
 )
 #: Kinds beyond the base: prefixed service tokens, signed web tokens, private key headers.
 MORE_RULES = (
-    Rule("prefixed", r"(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]+", 20),
+    Rule("prefixed", r"(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{20,}", 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 20),
 )
