@@ -5,8 +5,9 @@ hash in a bucket). Bands of registers propose pairs, the registers' collision-co
 full shingle sets decide. Equal sets are one class and take part once; their copies join again at the end.
 
 Pairs of a band's bucket are not listed: first each member meets the bucket's smallest document. Where a bucket still holds
-several components, its members are dealt in blocks and compared by their registers inside a task; only pairs that the
-estimate can't rule out leave it.
+several components, its members are dealt in blocks, with their shingle sets. A task takes a pair in the first band that it
+shares, passes over pairs that the estimate rules out or that are connected by now, and confirms the rest, likeliest first;
+only links that join two components leave it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .graph import connected_components, loose
 
 REGISTERS, BAND, MANTISSA = 256, 8, 10
 EMPTY = 0xFFFF
-BLOCK = 512
+BLOCK = 256
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -88,6 +89,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.zeros(regs.shape[:2], U64) + np.arange(regs.shape[1], dtype=U64)
         for k in range(regs.shape[2]):
             key = mix(key * U64(0xD6E8FEB86659FD93) + regs[:, :, k])
+        key = (key & ~U64(31)) | np.arange(regs.shape[1], dtype=U64)
         row, band = np.nonzero((regs != U64(0xFFFFFFFFFFFFFFFF)).any(2))
         yield pa.RecordBatch.from_arrays([pa.array(as_signed(key[row, band])), batch.column(0).take(pa.array(row))], ["key", "node"])
 
@@ -102,27 +104,46 @@ def _confirm(size: int, percent: int):
 
 
 def _blocks(percent: int):
-    """From rows (key, bi, bj, block, node, label, n, regs), sorted by the first three: pairs of different labels that may pass."""
+    """From rows (key, bi, bj, block, node, label, shingles), sorted by the first three: links between different labels, a forest of each run."""
 
-    def pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def links(t: dict) -> tuple[list[int], list[int]]:
         new = np.flatnonzero(np.concatenate([[True], (np.diff(t["key"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0)]))
-        out = [(np.zeros(0, np.int64),) * 2]
+        found: tuple[list[int], list[int]] = [], []
         for lo, hi in zip(new, [*new[1:], len(t["key"])], strict=True):
-            left = np.arange(lo, hi)[t["block"][lo:hi] == t["bi"][lo]]
-            right = np.arange(lo, hi)[t["block"][lo:hi] == t["bj"][lo]]
+            _, label = np.unique(t["label"][lo:hi], return_inverse=True)
+            if label.max() == 0:
+                continue
+            sets, node, block = t["sets"][lo:hi], t["node"][lo:hi], t["block"][lo:hi]
+            regs, size = np.stack([registers(u) for u in sets]), np.array([len(u) for u in sets])
+            bands, here = regs.view(np.uint64).reshape(len(sets), -1, BAND // 4), int(t["key"][lo] & 31)
+            left, right = np.flatnonzero(block == t["bi"][lo]), np.flatnonzero(block == t["bj"][lo])
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-            ok = (t["label"][i] != t["label"][j]) & ((t["node"][i] < t["node"][j]) | (t["bi"][lo] != t["bj"][lo]))
-            i, j = i[ok], j[ok]
-            for s in range(0, len(i), 20_000):
-                x, y = i[s : s + 20_000], j[s : s + 20_000]
-                est, used = jaccard_estimate(t["regs"][x], t["regs"][y], t["n"][x], t["n"][y])
-                near = est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
-                out.append((t["node"][x[near]], t["node"][y[near]]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-    def table(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+            ok = (label[i] != label[j]) & ((node[i] < node[j]) | (t["bi"][lo] != t["bj"][lo]))
+            i, j, kept = i[ok], j[ok], []
+            for s in range(0, len(i), 10_000):
+                x, y = i[s : s + 10_000], j[s : s + 10_000]
+                est, used = jaccard_estimate(regs[x], regs[y], size[x], size[y])
+                near = np.flatnonzero(est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1))
+                shared = ((bands[x[near]] == bands[y[near]]).all(2) & (bands[x[near]] != U64(0xFFFFFFFFFFFFFFFF)).any(2)).argmax(1)
+                kept.append(np.stack([x[near], y[near], (est[near] * -1e6).astype(np.int64)], 1)[shared == here])
+            kept = np.concatenate([np.zeros((0, 3), np.int64), *kept])
+            kept = kept[np.argsort(kept[:, 2], kind="stable")]
+            for s in range(0, len(kept), 500):
+                x, y = kept[s : s + 500, 0], kept[s : s + 500, 1]
+                for a, b in zip(*(k[label[x] != label[y]] for k in (x, y)), strict=True):
+                    if label[a] == label[b]:
+                        continue
+                    both = len(np.intersect1d(sets[a], sets[b], True))
+                    if 100 * both >= percent * (size[a] + size[b] - both):
+                        found[0].append(int(node[a])), found[1].append(int(node[b]))
+                        label[label == label[b]] = label[a]
+        return found
+
+    def results(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        return {c: t[c].to_numpy() for c in ("key", "bi", "bj", "block", "node", "label", "n")} | {"regs": np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)}
+        columns = {c: t[c].to_numpy() for c in ("key", "bi", "bj", "block", "node", "label")}
+        a, b = links(columns | {"sets": [np.frombuffer(x, U64) for x in t["shingles"].to_pylist()]})
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -132,20 +153,25 @@ def _blocks(percent: int):
                 continue
             ids = [batch.column(k).to_numpy() for k in range(3)]
             if held and tuple(x[0] for x in ids) != last:
-                a, b = pairs(table(held))
+                yield results(held)
                 held = []
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             last = tuple(x[-1] for x in ids)
             tail = np.flatnonzero((ids[0] != last[0]) | (ids[1] != last[1]) | (ids[2] != last[2]))
             split = int(tail[-1]) + 1 if len(tail) else 0
             if split:
-                a, b = pairs(table([*held, batch.slice(0, split)]))
+                yield results([*held, batch.slice(0, split)])
                 held = []
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held.append(batch.slice(split))
         if held:
-            a, b = pairs(table(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield results(held)
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in shingle_sets(batch.column(1), size)], pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -183,17 +209,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = shared.filter("members > 2").join(loose(labels, "node"), "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_rows = (
+    open_rows = cut(
         labelled.join(loose(mixed, "key"), "key", "left_semi")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label")
-        .join(loose(sketches, "node"), "node")
-        .select("key", "bi", "bj", "block", "node", "label", "n", "regs")
     )
-    dealt = open_rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = confirmed(dealt.mapInArrow(_blocks(percent), "a long, b long").distinct()).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    wanted = loose(open_rows.select("node").distinct(), "node")
+    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
+    dealt = open_rows.join(sets, "node").select("key", "bi", "bj", "block", "node", "label", "shingles").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    more = cut(dealt.mapInArrow(_blocks(percent), "u long, v long"))
     components = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     named = classes.join(loose(components, "node"), "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
