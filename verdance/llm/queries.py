@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fmindex, minhash, mixing, secrets
+from . import embeddings, fmindex, langid, minhash, mixing, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    model = langid.train(docs.filter(~F.col("held_out")))  # a null id is not learned from
+    out = langid.predict(docs, model, ("doc_id", "held_out"))
+    return out.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
 def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -30,6 +37,10 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), rule="start")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     findings, _ = secrets.incremental_scan(docs)
@@ -37,6 +48,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_langid": op2_langid,
+    "op9_tokens": op9_tokens,
     "op1_cross_polytope": op1_cross_polytope,
     "op4_fmindex": op4_fmindex,
     "op6_curriculum": op6_curriculum,
