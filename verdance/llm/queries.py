@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fmindex, langid, minhash, mixing, secrets, tokens
+from . import embeddings, fmindex, langid, minhash, mixing, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.Classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).report()
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), rule="start")
 
@@ -48,6 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_importance_resampling": op7_importance_resampling,
     "op2_langid": op2_langid,
     "op9_tokens": op9_tokens,
     "op1_cross_polytope": op1_cross_polytope,
