@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fmindex, langid, minhash, mixing, quality, secrets, tokens
+from . import embeddings, fmindex, langid, lm, minhash, mixing, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.Classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).report()
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7))
+    return lm.score(_table(spark, sf_dir, "documents"), remainder == 2, remainder != 2)
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), rule="start")
 
@@ -52,6 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_context_mixing": op8_context_mixing,
     "op7_importance_resampling": op7_importance_resampling,
     "op2_langid": op2_langid,
     "op9_tokens": op9_tokens,
