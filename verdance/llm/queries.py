@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fmindex, langid, lm, minhash, mixing, quality, secrets, tokens
+from . import embeddings, fmindex, html, langid, lm, minhash, mixing, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
+def op3_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -57,6 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_host_suffix_array": op3_host_suffix_array,
     "op8_context_mixing": op8_context_mixing,
     "op7_importance_resampling": op7_importance_resampling,
     "op2_langid": op2_langid,
