@@ -202,6 +202,10 @@ def _search(phrases, window: int, final: bool, clean: bool):
                 raw = data[offs[r] : offs[r + 1]].tobytes()
                 edges = [0, *np.stack([s[b] - offs[r], e[f] - offs[r]], 1).ravel().tolist(), len(raw)]
                 cleaned[r] = b"\n".join(raw[x:y].strip() for x, y in zip(edges[::2], edges[1::2], strict=True)).strip().decode()
+            if (cut_rows := np.flatnonzero(n_hit)).size:  # words that a cut has brought together can make a window
+                again = shard(pa.array([cleaned[r] for r in cut_rows], pa.string()), [None] * len(cut_rows), [None] * len(cut_rows))[4]
+                for r, text in zip(cut_rows, again, strict=True):
+                    cleaned[r] = text
         return n_words.tolist(), n_hit.tolist(), kept_spans, [sorted(x) for x in names], cleaned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
