@@ -24,7 +24,7 @@ from .graph import connected_components, loose
 
 REGISTERS, BAND, MANTISSA = 256, 8, 10
 EMPTY = 0xFFFF
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -51,7 +51,13 @@ def registers(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def jaccard_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chances(n: np.ndarray) -> np.ndarray:
+    """For sets of n hashes, the probability that a register has each number of leading zeros."""
+    z = np.arange(41)
+    return np.exp(-np.outer(n / REGISTERS, 2.0 ** -z[1:])) - np.exp(-np.outer(n / REGISTERS, 2.0 ** -z[:-1]))
+
+
+def jaccard_estimate(a: np.ndarray, b: np.ndarray, chances_a: np.ndarray, chances_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimates for pairs of register rows, and the number of registers that they rest on.
 
     Registers can agree by chance when their smallest hashes differ but share zeros and mantissa; the expected number of
@@ -59,9 +65,7 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     """
     used = ((a != EMPTY) | (b != EMPTY)).sum(1)
     same = ((a == b) & (a != EMPTY)).sum(1)
-    z = np.arange(40)
-    chance = lambda n: np.exp(-np.outer(n / REGISTERS, 2.0 ** -(z + 1))) - np.exp(-np.outer(n / REGISTERS, 2.0**-z))
-    expected = (chance(n_a) * chance(n_b)).sum(1) * 2.0**-MANTISSA * REGISTERS
+    expected = (chances_a * chances_b).sum(1) * 2.0**-MANTISSA * REGISTERS
     return np.clip((same - expected) / np.maximum(used - expected, 1), 0, 1), used
 
 
@@ -115,17 +119,18 @@ def _blocks(percent: int):
                 continue
             sets, node, block = t["sets"][lo:hi], t["node"][lo:hi], t["block"][lo:hi]
             regs, size = np.stack([registers(u) for u in sets]), np.array([len(u) for u in sets])
-            bands, here = regs.view(np.uint64).reshape(len(sets), -1, BAND // 4), int(t["key"][lo] & 31)
+            odds, bands, here = chances(size), regs.view(np.uint64).reshape(len(sets), -1, BAND // 4), int(t["key"][lo] & 31)
             left, right = np.flatnonzero(block == t["bi"][lo]), np.flatnonzero(block == t["bj"][lo])
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
             ok = (label[i] != label[j]) & ((node[i] < node[j]) | (t["bi"][lo] != t["bj"][lo]))
             i, j, kept = i[ok], j[ok], []
             for s in range(0, len(i), 10_000):
                 x, y = i[s : s + 10_000], j[s : s + 10_000]
-                est, used = jaccard_estimate(regs[x], regs[y], size[x], size[y])
-                near = np.flatnonzero(est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1))
-                shared = ((bands[x[near]] == bands[y[near]]).all(2) & (bands[x[near]] != U64(0xFFFFFFFFFFFFFFFF)).any(2)).argmax(1)
-                kept.append(np.stack([x[near], y[near], (est[near] * -1e6).astype(np.int64)], 1)[shared == here])
+                shared = ((bands[x] == bands[y]).all(2) & (bands[x] != U64(0xFFFFFFFFFFFFFFFF)).any(2)).argmax(1)
+                x, y = x[shared == here], y[shared == here]
+                est, used = jaccard_estimate(regs[x], regs[y], odds[x], odds[y])
+                near = est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+                kept.append(np.stack([x, y, (est * -1e6).astype(np.int64)], 1)[near])
             kept = np.concatenate([np.zeros((0, 3), np.int64), *kept])
             kept = kept[np.argsort(kept[:, 2], kind="stable")]
             for s in range(0, len(kept), 500):
