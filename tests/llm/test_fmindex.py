@@ -66,7 +66,7 @@ def test_parts_and_removal(spark, rng, monkeypatch):
     items = [(k, prose(rng, 30)) for k in range(6)]
     docs = [(k, prose(rng, 20) + ". " + items[k % 6][1].title() + "! " + prose(rng, 15)) for k in range(12)] + [(50, prose(rng, 60)), (51, items[0][1]), (52, None)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame([(*d, "y", 1) for d in docs], "doc_id long, text string, spans string, items int")
+    df = spark.createDataFrame([(*d, "y", 1) for d in docs], "doc_id long, text string, n_hit string, items int")
     whole = sorted(map(tuple, fmindex.contamination(df, benchmark).drop("items").collect()))
     monkeypatch.setattr(fmindex, "PART_WORDS", 60)
     assert sorted(map(tuple, fmindex.contamination(df, benchmark).drop("items").collect())) == whole

@@ -57,7 +57,7 @@ def test_only_unseen_pairs_are_scanned(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate([*TEXTS, None, "plain"])], "doc_id long, text string, blob string")
+    docs = spark.createDataFrame([(k, t, "z", 1) for k, t in enumerate([*TEXTS, None, "plain"])], "doc_id long, text string, spans string, n_hex int")
     findings, _ = secrets.incremental_scan(docs)
     out = secrets.redact(docs, findings)
     assert out.columns == docs.columns

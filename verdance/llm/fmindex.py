@@ -238,6 +238,7 @@ def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Ite
 
 
 def _run(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str], id_col: str, text_col: str, item_col: str, item_text_col: str, clean: bool) -> DataFrame:
+    """The columns of docs as c0, c1, ... with what the search gives."""
     spark, last = docs.sparkSession, None
     inner = [f"c{k}" for k in range(len(columns))]
     state = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)], F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
@@ -247,8 +248,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str],
             state = cut(state.mapInArrow(_search(last, window, False, clean), ", ".join([*own, "text string, spans binary, items array<string>"])))
         last = spark.sparkContext.broadcast(part)
     tail = "text string, n_words long, n_hit long" if clean else "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
-    out = state.mapInArrow(_search(last, window, True, clean), ", ".join([*own, tail]))
-    return out.withColumnsRenamed(dict(zip(inner, columns, strict=True)))
+    return state.mapInArrow(_search(last, window, True, clean), ", ".join([*own, tail]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -260,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     Repeated rows are judged each; empty tables give no rows or no hits; other columns are ignored.
     """
     out = _run(docs, benchmark, window, [id_col], id_col, text_col, item_col, item_text_col, False)
-    return out.select(F.col(id_col).alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -270,4 +270,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """
     columns = [c for c in docs.columns if c != text_col]
     out = _run(docs, benchmark, window, columns, "", text_col, item_col, item_text_col, True)
-    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("text" if c == text_col else f"c{columns.index(c)}").alias(c) for c in docs.columns])

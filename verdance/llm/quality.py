@@ -96,11 +96,11 @@ def _gumbel(key: Column, seed: int) -> Column:
 
 
 def _score(docs: DataFrame, ratio, keep: list[str], id_col: str, text_col: str, seed: int) -> DataFrame:
-    """`keep` of docs with _weight, _ngrams and _rank: weight and noise in millionths, as a whole number."""
+    """`keep` of docs as c0, c1, ... with _weight, _ngrams and _rank: weight and noise in millionths, as a whole number."""
     inner = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)], F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).alias("_key"), F.col(text_col).alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(_scores(ratio), f"{schema}, _weight double, _ngrams long").withColumnsRenamed(dict(zip(inner, keep, strict=True)))
+    out = rows.mapInArrow(_scores(ratio), f"{schema}, _weight double, _ngrams long")
     return out.withColumn("_rank", F.floor((F.col("_weight") + _gumbel(F.col("_key"), seed)) * 1e6))
 
 
@@ -153,9 +153,9 @@ class Classifier:
         raw = ngram_totals(docs.select(text_col))
         target = ngram_totals(sample.filter("_q = 1 and _t = 0").select(text_col))
         self.ratio = sc.broadcast(log_ratio(target, raw) if target.any() else np.zeros(BUCKETS))
-        seen = _score(sample, self.ratio, ["_q"], id_col, text_col, seed).select("_q", "_weight").toPandas()
-        self.cut = best_cut(seen._weight[seen._q == 1].to_numpy(), seen._weight[seen._q == 0].to_numpy())
-        self.scored = cut(_score(docs, self.ratio, [id_col], id_col, text_col, seed).select(F.col(id_col), "_weight", "_ngrams", "_rank"))
+        seen = _score(sample, self.ratio, ["_q"], id_col, text_col, seed).select("c0", "_weight").toPandas()
+        self.cut = best_cut(seen._weight[seen.c0 == 1].to_numpy(), seen._weight[seen.c0 == 0].to_numpy())
+        self.scored = cut(_score(docs, self.ratio, [id_col], id_col, text_col, seed).select("c0", "_weight", "_ngrams", "_rank"))
         self.k = self.scored.filter(F.col("_weight") >= F.lit(self.cut)).count()
         self.threshold = kth_largest(self.scored, "_rank", self.k)
 
@@ -164,8 +164,9 @@ class Classifier:
 
     def report(self) -> DataFrame:
         """Per row: the id, log_weight, n_ngrams, kept. Null and empty texts weigh 0."""
-        return self.scored.select(self.id_col, F.col("_weight").alias("log_weight"), F.col("_ngrams").alias("n_ngrams"), self._kept().alias("kept"))
+        return self.scored.select(F.col("c0").alias(self.id_col), F.col("_weight").alias("log_weight"), F.col("_ngrams").alias("n_ngrams"), self._kept().alias("kept"))
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """Those rows of docs that are kept, with their columns; scored again in place, so that no text is shuffled."""
-        return _score(docs, self.ratio, docs.columns, self.id_col, self.text_col, self.seed).filter(self._kept()).select(*docs.columns)
+        rows = _score(docs, self.ratio, docs.columns, self.id_col, self.text_col, self.seed).filter(self._kept())
+        return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

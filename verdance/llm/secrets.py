@@ -119,19 +119,20 @@ def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def findings_of_rows(rows: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """rows with their blob's counts and spans (null where it has none); a blob of many rows is split by the join, not gathered."""
+    """rows with their blob's counts and spans (null where it has none), named with a leading found_; a blob of many rows is split by the join, not gathered."""
     own = by_blob(findings, rules)
-    own = own.select(F.concat("blob", F.lit("")).alias("_blob"), *[c for c in own.columns if c != "blob"])
-    return rows.withColumn("_blob", blob_id(F.col(text_col))).join(own, "_blob", "left").drop("_blob")
+    own = own.select(F.concat("blob", F.lit("")).alias("found_blob"), *[F.col(c).alias(f"found_{c}") for c in own.columns if c != "blob"])
+    return rows.withColumn("found_blob", blob_id(F.col(text_col))).join(own, "found_blob", "left").drop("found_blob")
 
 
 def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of docs: doc_id, the number of spans of each base kind, their digest, and all spans."""
     hit = findings_of_rows(docs.select("doc_id", "text"), findings, rules)
-    base = F.filter("spans", lambda s: s["nth"] < len(BASE_RULES))
+    spans = F.col("found_spans")
+    base = F.filter(spans, lambda s: s["nth"] < len(BASE_RULES))
     digest = F.sha2(F.coalesce(_joined(base), F.lit("")), 256)
-    counts = [F.coalesce(F.col(f"n_{r.kind}"), F.lit(0)).alias(f"n_{r.kind}") for r in BASE_RULES]
-    return hit.select("doc_id", *counts, digest.alias("base_sha256"), F.coalesce(_joined(F.col("spans")), F.lit("")).alias("spans"))
+    counts = [F.coalesce(F.col(f"found_n_{r.kind}"), F.lit(0)).alias(f"n_{r.kind}") for r in BASE_RULES]
+    return hit.select("doc_id", *counts, digest.alias("base_sha256"), F.coalesce(_joined(spans), F.lit("")).alias("spans"))
 
 
 def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -143,6 +144,6 @@ def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
         piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
         return F.struct(piece.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    cleaned = F.aggregate("spans", first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    columns = [F.when(F.col("spans").isNotNull(), cleaned).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    cleaned = F.aggregate("found_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    columns = [F.when(F.col("found_spans").isNotNull(), cleaned).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return hit.select(*columns)
