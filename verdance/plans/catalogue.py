@@ -26,7 +26,7 @@ DAYS_OF = {
     "filename_dates": ("parsed",),
     "day_keys": ("round_trip",),
     "centred_windows": ("window_start", "window_end"),
-    "nearest_acquisition": ("target", "nearest_day"),
+    **dict.fromkeys(("nearest_acquisition", "nearest_acquisition_all_orders"), ("target", "nearest_day")),
     "gap_manifest": ("midpoint_date", "prediction_date", "window_start", "window_end", "withheld_date"),
 }
 
@@ -313,6 +313,18 @@ def nearest_acquisition(spark, sf_dir):
     return series.nearest(targets, acquisitions, ["site"], ["site", "o_orderkey"], "target", 20)
 
 
+@query(sql([b.ACQ, "o AS (SELECT o_orderkey, o_custkey % 10 AS site, CAST(o_orderdate AS DATE) AS target FROM orders)",
+            "met AS (SELECT o.*, a.date, a.filename, abs(a.date - o.target) AS d FROM o JOIN (SELECT DISTINCT site, date, filename FROM acq) a ON a.site = o.site AND abs(a.date - o.target) <= 20)",
+            "best AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY d, date, filename) AS k FROM met)"],
+       "SELECT site, o_orderkey, target, date AS nearest_day, filename AS nearest_name, CAST(d AS INT) AS distance FROM best WHERE k = 1"))
+def nearest_acquisition_all_orders(spark, sf_dir):
+    """Every order; orders of one site and day share their nearest acquisition, so the join is of distinct targets."""
+    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("site"), F.col("o_orderdate").cast("date").alias("target"))
+    acquisitions = b.acq(spark, sf_dir).select("site", "date", "filename").filter("site < 10").distinct()
+    found = series.nearest(orders.select("site", "target").distinct(), acquisitions, ["site"], ["site"], "target", 20)
+    return orders.join(found, ["site", "target"]).select("site", "o_orderkey", "target", "nearest_day", "nearest_name", "distance")
+
+
 @query(sql([b.SER_LONG, "y3 AS (SELECT scenario, date, value FROM ser_long WHERE day(date) % 2 = 0), y1 AS (SELECT scenario, date, value * 2 AS value FROM ser_long WHERE day(date) % 3 = 0)"],
        "SELECT scenario, date, " + r6("coalesce(y3.value, y1.value) AS value") + " FROM y3 FULL JOIN y1 USING (scenario, date)"))
 def precedence_merge(spark, sf_dir):
