@@ -1,8 +1,12 @@
-"""Main text of web pages: element roles, and a suffix array per host for what no role decides.
+"""Main text of web pages: element roles, and a suffix array per host over the blocks of all pages.
 
-Markup that names a page's article, or names menus, headers, footers, sidebars, notices, adverts, forms or comments, decides
-over its text. Text blocks without a role, on pages that declare no article, go to their host's suffix array: the word streams
-of a host's pages are concatenated, and substrings that are long and stand on many distinct pages are removed; unique runs stay.
+Markup that names menus, headers, footers, sidebars, notices, adverts, forms or comments drops its text. The other blocks of
+all pages go to their host's suffix array: the word streams of a host's pages are concatenated, and substrings that are long
+and stand on several distinct pages of the host are removed; unique runs stay. Roles have the last word: a paragraph, heading
+or quotation of a declared article stays whatever repeats it, and where a page declares an article, text outside it goes.
+
+A large host is dealt into shards. Each shard's array gives the pages of its runs, they are added up over the host by
+parts of the runs' hashes, and the runs on enough pages come back to the shards, so that the result is the same for any number of shards.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, utf8, word_hashes, words
+from .common import U64, mix, utf8, word_hashes, words
 
 RAW = "script|style|title|textarea|template|svg|math|iframe|noscript|select|button|object|canvas|audio|video"
 TOKEN = re.compile(
@@ -34,20 +38,26 @@ DROPPED_WORDS = frozenset(
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup login search share sharing social related recommended "
     "recommendations comment comments reply replies respond disqus discussion popup modal overlay toolbar pagination pager copyright skip".split()
 )
-MAIN_ROLE = re.compile(r"(?i)<(?:article|main)\b|role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b")
-PAGES_OF_SHARD, RUN, SHARE = 400, 8, 0.2
+#: Elements of prose: in an article, their text is the article's.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+ROLES = ("main", "loose", "plain")
+#: A run of RUN words is repeated if it stands on LEAST distinct pages of its host, whatever the host's size.
+PAGES_OF_SHARD, RUN, LEAST = 400, 8, 3
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
-    """(role, text) of a page's non-empty text blocks outside dropped elements, in page order; role is main or plain."""
+    """(role, text) of a page's non-empty text blocks outside dropped elements, in page order.
+
+    The role is main for prose of a declared article, loose for its other text, and plain for text outside one.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, state, whether only markup of its own kind can end it
-    state, held, at = "plain", [], 0
+    state, held, at, prose = "plain", [], 0, False
 
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
         if text:
-            out.append((state, text))
+            out.append(("loose" if state == "main" and not prose else state, text))
         held.clear()
 
     for m in TOKEN.finditer(html):
@@ -60,6 +70,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
         tag = tag.lower()
         if tag in BLOCKS:
             flush()
+            prose = tag in PROSE and not m["end"] if tag not in VOID else prose and tag == "br"
         if m["end"]:
             if any(t == tag for t, _, _ in stack):
                 if tag not in CONTAINERS:  # a soft element ends within its container only
@@ -99,28 +110,20 @@ def blocks(html: str) -> list[tuple[str, str]]:
 
 
 def joined(found: list[tuple[str, str]]) -> str:
-    main = [text for role, text in found if role == "main"]
+    main = [text for role, text in found if role != "plain"]
     return "\n".join(main or [text for _, text in found])
 
 
-def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [joined(blocks(h or "")) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
-def _undeclared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (page_id, url, host, shard, shards, html): the page's blocks and the numbers of their roles in place of html."""
     for batch in batches:
-        texts = [[text for _, text in blocks(h or "")] for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "blocks"])
+        found = [blocks(h or "") for h in batch.column(5).to_pylist()]
+        roles = pa.array([[ROLES.index(role) for role, _ in f] for f in found], pa.list_(pa.int8()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], roles, pa.array([[text for _, text in f] for f in found], pa.list_(pa.string()))], ["page_id", "url", "host", "shard", "shards", "roles", "blocks"])
 
 
-def repeated(stream: np.ndarray, page: np.ndarray, run: int, least: int) -> np.ndarray:
-    """Which words lie in a substring of at least `run` words that stands on at least `least` distinct pages.
-
-    Suffixes are ranked by prefix doubling until they are told apart by `run` words (a power of two); suffixes of one rank are
-    neighbours in the suffix array whose common prefix is that long. Page ends are symbols that occur once.
-    """
+def ranks(stream: np.ndarray, run: int) -> np.ndarray:
+    """The rank of each suffix by its first `run` words (a power of two), by prefix doubling."""
     n = len(stream)
     rank, width = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
     while width < run:
@@ -128,8 +131,18 @@ def repeated(stream: np.ndarray, page: np.ndarray, run: int, least: int) -> np.n
         key[: n - width] += rank[width:] + 1 if width < n else 0
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         width *= 2
-    pairs = np.unique(np.stack([rank, page], 1), axis=0)
-    often = np.bincount(pairs[:, 0], minlength=rank.max() + 1)[rank] >= least
+    return rank
+
+
+def pages_of(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """By rank, the number of distinct pages that it stands on."""
+    pairs = np.unique(rank * (page.max() + 1) + page)
+    return np.bincount(pairs // (page.max() + 1), minlength=rank.max() + 1)
+
+
+def covered(often: np.ndarray, run: int) -> np.ndarray:
+    """Which words lie in a run that begins where `often` is true."""
+    n = len(often)
     step = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(often)
     np.add.at(step, at, 1)
@@ -137,51 +150,145 @@ def repeated(stream: np.ndarray, page: np.ndarray, run: int, least: int) -> np.n
     return np.cumsum(step)[:-1] > 0
 
 
-def unique_runs(pages: list[list[str]], run: int = RUN, share: float = SHARE) -> list[str]:
-    """Each page's text without what its host repeats in runs of `run` words and breaks, on at least 3 pages and `share` of all.
+def repeated(stream: np.ndarray, page: np.ndarray, run: int, least: int) -> np.ndarray:
+    """Which words lie in a substring of at least `run` words that stands on at least `least` distinct pages.
 
-    Whole blocks go where such runs cover them; of other blocks only covered runs of `run` words.
+    Suffixes of one rank are neighbours in the suffix array whose common prefix is `run` words long. Page ends are symbols that
+    occur once.
     """
-    least = max(3, int(np.ceil(share * len(pages))))
-    tokens = [[b.split(" ") for b in p] for p in pages]
-    data, offs = utf8(pa.array([" ".join(w for b in p for w in b) for p in tokens], pa.string()))
-    s, e, first = words(data, offs, np.arange(256) != 32)
-    h = word_hashes(data, s, e) | U64(1)
-    stream, page, word = [], [], []
-    for k, p in enumerate(tokens):
-        at = first[k]
-        for b in p:
-            stream += [h[at : at + len(b)], np.zeros(1, U64)]  # 0: a break between blocks
-            word += [np.arange(at, at + len(b)), np.full(1, -1)]
-            at += len(b)
-        stream.append(np.array([2 * k + 2], U64))  # even: no word's hash
-        word.append(np.full(1, -1))
-        page.append(np.full(sum(map(len, p)) + len(p) + 1, k))
-    if not stream:
+    rank = ranks(stream, run)
+    return covered(pages_of(rank, page)[rank] >= least, run)
+
+
+class Streams:
+    """The word streams of pages, in one: words' hashes, 0 between blocks, an even symbol of its own at each page's end."""
+
+    def __init__(self, pages: list[list[str]], names: list | None = None):
+        self.tokens = [[b.split(" ") for b in p] for p in pages]
+        data, offs = utf8(pa.array([" ".join(w for b in p for w in b) for p in self.tokens], pa.string()))
+        s, e, self.first = words(data, offs, np.arange(256) != 32)
+        self.hashes = word_hashes(data, s, e) | U64(1)
+        number: dict = {}  # rows of one name are one page
+        stream, page, word = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, p in enumerate(self.tokens):
+            at = self.first[k]
+            for b in p:
+                stream += [self.hashes[at : at + len(b)], np.zeros(1, U64)]  # 0: a break between blocks
+                word += [np.arange(at, at + len(b)), np.full(1, -1)]
+                at += len(b)
+            stream.append(np.array([2 * k + 2], U64))  # even: no word's hash
+            word.append(np.full(1, -1))
+            page.append(np.full(sum(map(len, p)) + len(p) + 1, number.setdefault(names[k] if names else k, len(number))))
+        self.stream, self.page, self.word = (np.concatenate(x) for x in (stream, page, word))
+
+    def keys(self, at: np.ndarray, run: int, host: int) -> np.ndarray:
+        """A 64-bit hash of the runs that begin at the places `at`, and of the host; it is the same in each shard."""
+        key = np.full(len(at), host & (2**64 - 1), U64)
+        for k in range(run):
+            key = mix(key * U64(0xD6E8FEB86659FD93) + self.stream[at + k])
+        return key
+
+    def whole(self, run: int) -> np.ndarray:
+        """The places where a run of `run` words begins that stays on its page."""
+        ends = np.concatenate([[0], np.cumsum((self.stream % U64(2) == 0) & (self.stream > 0))])
+        at = np.arange(max(0, len(self.stream) - run + 1))
+        return at[ends[at + run] == ends[at]]
+
+
+def shard_runs(pages: list[list[str]], names: list, host: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a shard's distinct runs, and on how many of its pages each stands."""
+    text = Streams(pages, names)
+    at = text.whole(run)
+    if not len(at):
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    rank = ranks(text.stream, run)
+    n = pages_of(rank, text.page)
+    own, first = np.unique(rank[at], return_index=True)
+    return text.keys(at[first], run, host), n[own]
+
+
+def unique_runs(pages: list[list[str]], run: int = RUN, least: int = LEAST, roles: list[list[int]] | None = None, names: list | None = None, known: tuple[int, np.ndarray] | None = None) -> list[str]:
+    """Each page's text without what its host repeats in runs of `run` words and breaks, on at least `least` pages.
+
+    Whole blocks go where such runs cover them; of other blocks only covered runs of `run` words. By `roles`, prose of an
+    article stays, and text outside the article where there is one goes. Rows of one name count as one page. Where the pages
+    are one shard of several, `known` gives the host and the keys of all its repeated runs.
+    """
+    text = Streams(pages, names)
+    if not len(text.stream):
         return [""] * len(pages)
-    stream, page, word = (np.concatenate(x) for x in (stream, page, word))
-    gone = np.zeros(len(h), bool)
-    covered = repeated(stream, page, run, least) & (word >= 0)
-    gone[word[covered]] = True
+    gone = np.zeros(len(text.hashes), bool)
+    if known is None:
+        off = repeated(text.stream, text.page, run, least)
+    else:
+        at, often = text.whole(run), np.zeros(len(text.stream), bool)
+        often[at] = np.isin(text.keys(at, run, known[0]), known[1])
+        off = covered(often, run)
+    gone[text.word[off & (text.word >= 0)]] = True
     out = []
-    for k, p in enumerate(tokens):
-        at, kept = first[k], []
-        for b in p:
+    for k, p in enumerate(text.tokens):
+        at, kept = text.first[k], []
+        role = [ROLES[r] for r in roles[k]] if roles else ["plain"] * len(p)
+        article = any(r != "plain" for r in role)
+        for b, r in zip(p, role, strict=True):
             off = gone[at : at + len(b)].copy()
             at += len(b)
+            if r == "main":
+                off[:] = False
+            elif r == "plain" and article:
+                off[:] = True
             if not off.all():  # what a run across a break covers goes with whole blocks only
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], off.view(np.int8), [0]])))
                 for x, y in zip(edge[::2], edge[1::2], strict=True):
                     off[x:y] = y - x >= run
-            text = " ".join(w for w, g in zip(b, off, strict=True) if not g)
-            if text:
-                kept.append(text)
+            left = " ".join(w for w, g in zip(b, off, strict=True) if not g)
+            if left:
+                kept.append(left)
         out.append("\n".join(kept))
     return out
 
 
-def _by_host(table: pa.Table) -> pa.Table:
-    texts = unique_runs([[b for b in p or [] if b] for p in table["blocks"].to_pylist()])
+def _shard(table: pa.Table) -> tuple[list, list, list]:
+    return table["blocks"].to_pylist(), table["roles"].to_pylist(), list(zip(table["page_id"].to_pylist(), table["url"].to_pylist(), strict=True))
+
+
+def _zipped(x: np.ndarray) -> bytes:
+    return len(x.tobytes()).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(x.tobytes(), asbytes=True)
+
+
+def _unzipped(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), kind)
+
+
+def _runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A shard's runs and their pages, packed into as many parts by their keys as the host has shards."""
+    host, shard, parts = key[0].as_py(), key[1].as_py(), table["shards"][0].as_py()
+    pages, _, names = _shard(table)
+    keys, n = shard_runs(pages, names, host)
+    part = (keys >> U64(32)) % U64(parts)
+    order = np.lexsort((keys, part))
+    keys, n, bounds = keys[order], n[order].astype(np.uint32), np.searchsorted(part[order], np.arange(parts + 1))
+    some = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+    return pa.table({
+        "host": pa.array(np.full(len(some), host, np.int64)), "part": pa.array([k for k, _, _ in some], pa.int64()), "shard": pa.array(np.full(len(some), shard, np.int64)),
+        "keys": pa.array([_zipped(keys[a:b]) for _, a, b in some], pa.binary()), "ns": pa.array([_zipped(n[a:b]) for _, a, b in some], pa.binary()),
+    })
+
+
+def _known(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """From all shards' runs of one part: for each shard those of its runs that stand on enough pages of the host."""
+    keys = [_unzipped(x, U64) for x in table["keys"].to_pylist()]
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    pages = np.bincount(at, np.concatenate([_unzipped(x, np.uint32) for x in table["ns"].to_pylist()]), minlength=len(u))
+    often = u[pages >= LEAST]
+    return pa.table({"host": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "shard": table["shard"], "keys": pa.array([_zipped(np.intersect1d(k, often, True)) for k in keys], pa.binary())})
+
+
+def _by_host(key: tuple[pa.Scalar, ...], table: pa.Table, known: pa.Table) -> pa.Table:
+    pages, roles, names = _shard(table)
+    host, shard = (k.as_py() for k in key)
+    keys = None if shard < 0 else (host, np.concatenate([np.zeros(0, U64), *[_unzipped(x, U64) for x in known["keys"].to_pylist()]]))
+    texts = unique_runs(pages, roles=roles, names=names, known=keys)
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())})
 
 
@@ -192,18 +299,17 @@ def host_of(url: Column) -> Column:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text and n_chars (code points).
 
-    Null and empty pages have an empty text. A null or odd url is a host of its own name (empty). A host's pages are dealt into
-    shards of a few hundred by a hash of their ids, so that a large host is no hot group; rows may repeat, and each gets its
-    text. Pages with a declared article need no other page and are not shuffled.
+    Null and empty pages have an empty text. A null or odd url is a host of its own name (empty). A large host's pages are dealt
+    into shards of a few hundred by a hash of their ids, so that it is no hot group; only such hosts, fewer than one in a few
+    hundred pages, add up their runs over shards. Rows may repeat, and each gets its text; equal ids and urls are one page.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    declares = F.coalesce(F.col("html").rlike(MAIN_ROLE.pattern), F.lit(True))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"))
     id_type = rows.schema["page_id"].dataType.simpleString()
-    own = rows.filter(declares).mapInArrow(_declared, f"page_id {id_type}, url string, text string")
-    other = rows.filter(~declares).withColumn("host", host_of(F.col("url")))
-    sizes = other.groupBy("host").agg(F.count("*").alias("n"))
-    sizes = sizes.select(F.concat("host", F.lit("")).alias("host"), F.ceil(F.col("n") / PAGES_OF_SHARD).cast("int").alias("shards"))
-    parsed = other.mapInArrow(_undeclared, f"page_id {id_type}, url string, host string, blocks array<string>")
-    dealt = parsed.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    rest = dealt.groupBy("host", "shard").applyInArrow(_by_host, f"page_id {id_type}, url string, text string")
-    return own.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    large = rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > PAGES_OF_SHARD).select("host", F.ceil(F.col("n") / PAGES_OF_SHARD).alias("shards"))
+    dealt = rows.join(F.broadcast(large), "host", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("shards")), F.lit(-1)))  # -1: the whole host
+    schema = f"page_id {id_type}, url string, host long, shard long, shards long, roles array<tinyint>, blocks array<string>"
+    parsed = lambda some: some.select("page_id", "url", "host", "shard", "shards", "html").mapInArrow(_parsed, schema)
+    runs = parsed(dealt.filter("shard >= 0")).groupBy("host", "shard").applyInArrow(_runs, "host long, part long, shard long, keys binary, ns binary")
+    known = runs.groupBy("host", "part").applyInArrow(_known, "host long, shard long, keys binary")
+    texts = parsed(dealt).groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(_by_host, f"page_id {id_type}, url string, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
