@@ -9,6 +9,15 @@ from verdance.llm import html
 AGAIN = "Read more of our partners and their fine offers today"
 
 
+def test_array_sees_declared_pages_and_roles_veto(spark):
+    shared = "a passage that many articles of this host share word for word"
+    rows = [(k, f"http://h.example/{k}", f"<article><div>{AGAIN}</div><p>{shared}</p><p>Story {k} of {k * 7}</p></article>") for k in range(6)]
+    rows += [(10, "http://h.example/10", f"<!-- <article> --><script>'<main'</script><div>{AGAIN}</div><p>Plain story of ten</p>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{shared}\nStory {k} of {k * 7}" for k in range(6))
+    assert got[10] == "Plain story of ten"
+
+
 def test_result_does_not_depend_on_shards(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
