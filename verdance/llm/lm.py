@@ -3,9 +3,12 @@
 A text is a sequence of lower-cased bytes and an end symbol. Each symbol is a path of binary decisions in a Huffman tree of the
 training bytes. Five predictors know a decision by its node and the last 0 to 4 bytes: counts of ones and zeros in hashed slots,
 gathered over all training documents. Their logits are mixed by weights that a gate chooses (how often the two longest contexts
-have been seen), and an adaptive probability map, by the last byte, refines the result. Weights and map learn online, in the
-order of a bounded sample of the training stream, each decision predicted from counts without itself. Then they are frozen, so
-that documents can be scored anywhere and in any order; the same five symbols always cost the same. Last, a word with the
+have been seen), and an adaptive probability map, by the last byte, refines the result. Weights and map learn online from
+all training text. Each decision is predicted from counts without itself; equal contexts and symbols predict alike, so they are
+learned from together, with their number. They are dealt into shards by a hash; in each round every shard is passed online,
+from the weights and map of the round before, and the shards' results are added up by precision. The number of rounds is fixed.
+Then weights and map are frozen, so that documents can be scored anywhere and in any order; the same five symbols always cost
+the same. Last, a word with the
 delimiter after it is the mixture of its spelling under the bit model and its share of the training words: both are
 distributions over such pairs, so the result is one.
 
@@ -37,8 +40,8 @@ SLOT_START = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 GATES, CELLS = 48, 33
 #: The weight of word shares against spellings.
 WORD_WEIGHT, LN10 = 0.5, np.log(10)
-#: Characters of training text that weights and map are learned on, about; counts cover all text.
-ONLINE_CHARS = 1_000_000
+#: Rounds over all training text, distinct grams of a shard, and the weight of where a pass begins, in decisions.
+ROUNDS, SHARD_GRAMS, PRIOR = 3, 250_000, 16.0
 
 
 # -- chunks of documents
@@ -242,34 +245,38 @@ class Mixer:
         part = place - cell
         return self.map[last, cell] * (1 - part) + self.map[last, cell + 1] * part, cell, part
 
-    def learn(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, batch: int = 512) -> None:
-        """Online over decisions in the stream's order, `batch` at a time; each from counts without itself."""
-        last, nth = ((key >> U64(9)) & U64(255)).astype(np.int64), 0
-        for r in self._stream(key, batch):
-            bit, where = r[:, 1], r[:, 2:]
+    def learn(self, key: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Online over grams in their order, each for its n occurrences; each from counts without itself.
+
+        A step is the gradient by the curvature so far (of a gate's weights a matrix, of the map by cell), which is returned.
+        """
+        bend, firm = np.tile(np.eye(ORDERS + 1) * PRIOR, (GATES, 1, 1)), np.full(self.map.shape, PRIOR)
+        last, n = ((key >> U64(9)) & U64(255)).astype(np.int64), n.astype(np.float64)
+        for lo in range(0, len(key), block):
+            rows = [(at + lo, bit, slots(key[lo + at], node)) for at, node, bit in decisions(self.tree, key[lo : lo + block])]
+            at, bit, where = (np.concatenate(r) for r in zip(*rows, strict=True))
             z, o = np.maximum(zeros[where] - (1 - bit[:, None]), 0), np.maximum(ones[where] - bit[:, None], 0)
-            x = np.column_stack([stretch(z, o), np.ones(len(r))])
+            x = np.column_stack([stretch(z, o), np.ones(len(at))])
             g = gate((z + o)[:, 3], (z + o)[:, 4])
             logit = (x * self.weights[g]).sum(1)
-            rate = 0.5 / (1 + nth) ** 0.5 + 0.01
-            nth += 1
-            step = np.zeros_like(self.weights)
-            np.add.at(step, g, (bit - squash(logit))[:, None] * x)
-            self.weights += step * (rate / np.maximum(np.bincount(g, minlength=GATES), 8))[:, None]
-            c = last[r[:, 0]]
+            p = squash(logit)
+            error = bit - p
+            order = np.argsort(g, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+                k, some, m = g[rows[0]], x[rows], n[at[rows]]
+                bend[k] += (some * (m * np.maximum(p[rows] * (1 - p[rows]), error[rows] ** 2))[:, None]).T @ some
+                self.weights[k] += np.linalg.solve(bend[k], (m * error[rows]) @ some)
+            c = last[at]
             fine, cell, part = self.refine(logit, c)
-            error = (bit - squash(fine)) * 0.5
-            np.add.at(self.map, (c, cell), error * (1 - part) * 0.1)
-            np.add.at(self.map, (c, cell + 1), error * part * 0.1)
-
-    def _stream(self, key: np.ndarray, batch: int) -> Iterator[np.ndarray]:
-        """Rows (place, bit, slots) of the keys' decisions in order; some ten thousand keys are held at a time."""
-        for lo in range(0, len(key), 20_000):
-            rows = [np.column_stack([at + lo, bit, slots(key[lo + at], node)]) for at, node, bit in decisions(self.tree, key[lo : lo + 20_000])]
-            rows = np.concatenate(rows)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            for s in range(0, len(rows), batch):
-                yield rows[s : s + batch]
+            p = squash(fine)
+            error = bit - p
+            curve, push = np.maximum(p * (1 - p), error**2) * n[at], error * n[at]
+            step = np.zeros_like(self.map)
+            for there, share in ((cell, 1 - part), (cell + 1, part)):
+                np.add.at(firm, (c, there), curve * share)
+                np.add.at(step, (c, there), push * share)
+            self.map += step / firm
+        return bend, firm
 
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each key's symbol after its context."""
@@ -362,45 +369,100 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([cell.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cells", "ns"])
 
 
-def fit(tree: Tree, delimiters: np.ndarray, sample: list[str], packed: Iterator[tuple[bytes, bytes]]) -> bytes:
-    """A mixer with the packed counts, its weights and map learned on the sample; pickled and compressed."""
+def _squeezed(x: object) -> bytes:
+    raw = pickle.dumps(x, 5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _restored(x: bytes):
+    return pickle.loads(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
+
+
+def counted_slots(packed: Iterator[tuple[bytes, bytes]]) -> bytes:
+    """Zeros and ones by slot, from packed counts."""
     both = np.zeros(2 * SLOT_START[-1], np.float32)
     for cells, n in packed:
         both[np.frombuffer(cells, np.int32)] = np.frombuffer(n, np.float32)
+    return _squeezed(both)
+
+
+def loaded(model: bytes) -> Mixer:
+    tree, delimiters, counts, learned = pickle.loads(model)
+    both = _restored(counts)
     zeros, ones = both[0::2], both[1::2]
     mixer = Mixer(tree, stretch(zeros, ones).astype(np.float32), np.minimum(zeros + ones, 2000).astype(np.uint16), delimiters=delimiters)  # gates tell apart fewer
-    if sample:
-        data, offs = utf8(pa.array(sample))
-        mixer.learn(grams(LOWER_LUT[data], offs)[0], zeros, ones)
-    raw = pickle.dumps(mixer, 5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    if learned:
+        mixer.weights, mixer.map = learned
+    return mixer
 
 
-def loaded(model: bytes) -> Mixer:
-    return pickle.loads(pa.Codec("zstd").decompress(model[8:], int.from_bytes(model[:8], "little"), asbytes=True))
+def _shard_of_grams(table: pa.Table) -> pa.Table:
+    """A shard's grams in the order of a hash, and their numbers, as one row."""
+    key, n = table["gram"].to_numpy().view(U64), table["n"].to_numpy()
+    order = np.argsort(mix(key))
+    return pa.table({"grams": pa.array([key[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary())})
+
+
+def passed(mixer: Mixer, key: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Sums of one shard's pass: by gate the curvature and its product with the weights, by map cell the same."""
+    bend, firm = mixer.learn(key, n, zeros, ones)
+    return np.concatenate([bend.ravel(), np.einsum("gij,gj->gi", bend, mixer.weights).ravel(), firm.ravel(), (firm * mixer.map).ravel()])
+
+
+def added(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and map from the shards' sums."""
+    w = ORDERS + 1
+    bend, aim, firm, level = np.split(sums, np.cumsum([GATES * w * w, GATES * w, 256 * CELLS]))
+    return np.linalg.solve(bend.reshape(GATES, w, w), aim.reshape(GATES, w, 1))[:, :, 0], (level / firm).reshape(256, CELLS)
+
+
+def _round(counts, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, total = None, None
+        for row in _each(batches):
+            both = _restored(counts.value) if both is None else both
+            mixer = Mixer(tree, np.zeros(0, np.float32), np.zeros(0, np.uint16))
+            if learned:
+                mixer.weights, mixer.map = learned[0].copy(), learned[1].copy()
+            sums = passed(mixer, np.frombuffer(row["grams"], U64), np.frombuffer(row["ns"], np.int64), both[0::2], both[1::2])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "v"])
+
+    return run
 
 
-def train(grams_table: DataFrame, sample: list[str]) -> bytes:
-    """The model of all counted grams, for `loaded`; weights and map learned on the sample.
+def train(grams_table: DataFrame) -> bytes:
+    """The model of all counted grams, for `loaded`; weights and map are learned on all of them in ROUNDS rounds.
 
-    One task learns, from slot counts and a sample that both have a fixed size; the driver gets the finished model.
+    The driver gets sums of a fixed size and, compressed, the slot counts.
     """
     before, symbol = F.shiftright("gram", 9).bitwiseAND(255), F.col("gram").bitwiseAND(511)
-    symbols = grams_table.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.sum(F.when(~before.isin(*SPACES, 0), F.col("n")).otherwise(0)).alias("after")).collect()
+    symbols = grams_table.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.sum(F.when(~before.isin(*SPACES, 0), F.col("n")).otherwise(0)).alias("after")).collect()
     counts, after = np.zeros(END + 1, np.int64), np.zeros(END + 1)
     for r in symbols:
         counts[r.s], after[r.s] = r.n, r.after
     ends = np.zeros(END + 1)
     ends[[*SPACES, END]] = after[[*SPACES, END]] + 1
     tree, delimiters = Tree.of(counts), np.log10(np.maximum(ends, 1e-9) / ends.sum())
+    if not symbols:
+        return pickle.dumps((tree, delimiters, counted_slots(iter(())), None), 5)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = ((r["cells"], r["ns"]) for batch in batches for r in batch.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([fit(tree, delimiters, sample, packed)], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([counted_slots(packed)], pa.binary())], ["counts"])
 
     cells = grams_table.mapInArrow(_slot_counts(tree), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = cells.mapInArrow(_pack, "cells binary, ns binary").repartition(1).mapInArrow(learn, "model binary").collect()
-    return bytes(got[0].model) if got else fit(tree, delimiters, sample, iter(()))
+    slot_counts = bytes(cells.mapInArrow(_pack, "cells binary, ns binary").repartition(1).mapInArrow(gathered, "counts binary").collect()[0].counts)
+    shards = -(-sum(r.distinct for r in symbols) // SHARD_GRAMS)
+    dealt = cut(grams_table.groupBy(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")).applyInArrow(_shard_of_grams, "grams binary, ns binary"))
+    sent, learned = grams_table.sparkSession.sparkContext.broadcast(slot_counts), None
+    for _ in range(ROUNDS):
+        sums = np.zeros(GATES * (ORDERS + 1) * (ORDERS + 2) + 512 * CELLS)
+        for r in dealt.mapInArrow(_round(sent, tree, learned), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+            sums[r.cell] = r.v
+        learned = added(sums)
+    return pickle.dumps((tree, delimiters, slot_counts, learned), 5)
 
 
 def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,12 +478,9 @@ def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc
     asked = chunks.mapInArrow(_dictionary, "word long, chunk long, n long")
     counts = cut(asked.groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    learned_docs, chars = rows.filter("learned").agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    learned_docs = rows.filter("learned").count()
     counted = cut(chunks.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    share = min(1.0, ONLINE_CHARS / max(1, chars))
-    some = rows.filter("learned and text is not null").withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
-    sample = [r.text for r in some.orderBy("h").select("text").collect()]
-    model = docs.sparkSession.sparkContext.broadcast(train(counted, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(counted))
     answered = asked.join(loose(counts, "word"), "word").select("chunk", "word", "c")
     run = _score(model, int(total + learned_docs), int(distinct + (learned_docs > 0)), int(learned_docs))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
