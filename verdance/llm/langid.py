@@ -138,11 +138,13 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, per_language: int = 1500, passes: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1, lang_col: str = "lang", text_col: str = "text", order: Column | None = None) -> Model | None:
     """A model of docs' non-null languages; None without any. Null and letterless texts teach nothing.
 
-    Document frequencies cover all rows. The weights see a sample of about `per_language` rows of each language, chosen by a
-    hash (`order`, of the text by default), a fifth of it kept for the temperature.
+    Document frequencies cover all rows. The weights see a sample of about `per_language` different texts of each language,
+    chosen by a hash (`order`, of the text by default), a fifth of it kept for the temperature. Copies of a text are one in it,
+    so that a frequent text neither outgrows the sample nor swamps the weights.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (order if order is not None else F.xxhash64(text_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    number = F.count("*") if order is not None else F.count_distinct("h")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(number.alias("n")).collect()}
     if not sizes:
         return None
     df = rows.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
@@ -150,7 +152,7 @@ def train(docs: DataFrame, per_language: int = 1500, passes: int = 3, alpha: flo
     frequency[df.feature] = df.df
     idf = np.log((1 + frequency[FEATURES]) / (1 + frequency[:FEATURES])) + 1
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    sample = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(1 << 30)).alias("part"))
+    sample = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "text").agg(F.min("h").alias("h")).select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(1 << 30)).alias("part"))
     got = sample.mapInArrow(_vectors, "lang string, part long, features binary, counts binary").toPandas().sort_values(["part", "lang", "features"], kind="stable")
     languages = sorted(sizes)
     learn, check = [], []
