@@ -61,7 +61,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    findings, _ = secrets.incremental_scan(docs)
+    findings, _ = secrets.incremental_scan(docs, *secrets.empty_ledger(spark))
     return secrets.report(docs, findings)
 
 

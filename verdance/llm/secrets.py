@@ -19,6 +19,10 @@ class Rule:
 
     Where the rest of a match is one greedy run of a class, a bound inside the pattern finds the same spans as dropping
     short matches after, as no later start within the run can be longer; it spares listing every short run.
+
+    Patterns take time in proportion to the text and a stack of fixed depth: groups that repeat are possessive, which Java
+    loops over. `skip` says what may stand before the next match where trying every character would be quadratic, and
+    `holds` a text without which there is no match.
     """
 
     kind: str
@@ -26,6 +30,8 @@ class Rule:
     least: int
     group: int = 0
     version: int = 1
+    skip: str = ".*?"
+    holds: str = ""
 
 
 BASE_RULES = (
@@ -33,11 +39,12 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
+_JWT = r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 #: Kinds beyond the base: prefixed service tokens, signed web tokens, private key headers.
 MORE_RULES = (
     Rule("prefixed", r"(?:gh[oprsu]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{20,}", 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 20),
+    Rule("jwt", _JWT, 30, skip=rf"(?:[^A-Za-z0-9_-]++|(?!eyJ)[A-Za-z0-9_-]|(?!{_JWT})eyJ[A-Za-z0-9_-]*+)*+", holds="eyJ"),
+    Rule("pem", r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z]++ )*+PRIVATE KEY-----", 20, holds="-----BEGIN "),
 )
 RULES = BASE_RULES + MORE_RULES
 FINDINGS = "blob string, rule string, rule_version int, start long, end long"
@@ -49,16 +56,18 @@ def blob_id(text: Column) -> Column:
 
 
 def empty_ledger(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([], FINDINGS), spark.createDataFrame([], LEDGER)
+    """Findings and ledger to begin with; a JVM-side plan without rows."""
+    typed = lambda columns: spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in columns.split(", "))])
+    return typed(FINDINGS), typed(LEDGER)
 
 
 def _matches(text: Column, k: int, rule: Rule) -> Column:
     """Array of structs, or null: each step is the gap since the last match and the match; \\G keeps the search linear."""
-    steps = rf"(?s)\G(.*?)({rule.pattern})"
-    present = rf"(?s){rule.pattern}"
+    steps = rf"(?s)\G({rule.skip})({rule.pattern})"
+    present = F.contains(text, F.lit(rule.holds)) if rule.holds else text.rlike(rf"(?s){rule.pattern}")
     pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(steps), F.lit(0)).alias("step"), F.regexp_extract_all(text, F.lit(steps), F.lit(2)).alias("match"))
     found = F.transform(pair, lambda x, i: F.struct(F.lit(k).alias("rule"), i.alias("nth"), F.length(x["step"]).alias("step"), x["match"].alias("match")))
-    return F.when(text.rlike(present), found)
+    return F.when(present, found)
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -86,7 +95,8 @@ def incremental_scan(
 
     Findings and ledger of earlier calls come back with the new rows added; pass none to begin. Blobs are kept once however
     many rows hold them: equal texts meet by partial aggregation, so that a blob with many copies is no hot group. A table
-    without rows gives empty results.
+    without rows gives empty results. A text of any length is scanned whole, in time proportional to it. Columns of versions
+    other than the text are not read; ledger rows of unknown rules or with nulls say nothing.
     """
     blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
     everything = F.array(*[F.lit(k) for k in range(len(rules))])
@@ -122,11 +132,17 @@ def findings_of_rows(rows: DataFrame, findings: DataFrame, rules: tuple[Rule, ..
     """rows with their blob's counts and spans (null where it has none), named with a leading found_; a blob of many rows is split by the join, not gathered."""
     own = by_blob(findings, rules)
     own = own.select(F.concat("blob", F.lit("")).alias("found_blob"), *[F.col(c).alias(f"found_{c}") for c in own.columns if c != "blob"])
+    clash = [c for c in rows.columns if c in own.columns]
+    if clash:
+        raise ValueError(f"rows already have {clash}")
     return rows.withColumn("found_blob", blob_id(F.col(text_col))).join(own, "found_blob", "left").drop("found_blob")
 
 
 def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row of docs: doc_id, the number of spans of each base kind, their digest, and all spans."""
+    """Per row of docs: doc_id, the number of spans of each base kind, their digest, and all spans.
+
+    Ids may be of any type, null or repeated; each row gets its text's spans. Null texts count as empty.
+    """
     hit = findings_of_rows(docs.select("doc_id", "text"), findings, rules)
     spans = F.col("found_spans")
     base = F.filter(spans, lambda s: s["nth"] < len(BASE_RULES))
@@ -136,14 +152,18 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
 
 
 def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every found span of the text replaced by `mark`, overlapping spans by one; rows without findings as they are."""
-    hit = findings_of_rows(docs, findings.select(*[F.col(c) for c in ("blob", "rule", "start", "end")]), rules, text_col)
-    text, first = F.col(text_col), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    """docs with every found span of the text replaced by `mark`, overlapping spans by one; rows without findings as they are.
+
+    docs may have columns of any names; they pass unchanged.
+    """
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    hit = findings_of_rows(held, findings.select(*[F.col(c) for c in ("blob", "rule", "start", "end")]), rules, "text")
+    text, first = F.col("text"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
         return F.struct(piece.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     cleaned = F.aggregate("found_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    columns = [F.when(F.col("found_spans").isNotNull(), cleaned).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [F.when(F.col("found_spans").isNotNull(), cleaned).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return hit.select(*columns)
