@@ -10,7 +10,7 @@ position, and the spans merged.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,9 @@ from .common import ALNUM_WORDS, LOWER_LUT, cut, slices, utf8, word_hashes, word
 SHARD_BYTES, SAMPLE = 2_000_000, 8
 #: Words of one benchmark part; a larger benchmark is searched in parts, one pass over the documents for each.
 PART_WORDS = 1_000_000
+#: Window starts of one piece of an item; longer items come in pieces that overlap by a window less one word.
+PIECE_WORDS = 100_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class WaveletMatrix:
@@ -112,16 +115,13 @@ class Phrases:
         self.vocabulary, symbol = np.unique(word_hashes(low, s, e), return_inverse=True)
         symbol = symbol.astype(np.int64) + 2  # 0 ends the text, 1 separates
         self.alphabet = len(self.vocabulary) + 2
-        rows, sizes, owners = [], [], []
+        rows, owners = [np.zeros((0, window), np.int64)], []
         for i, (item, _) in enumerate(items):
             w = symbol[first[i] : first[i + 1]]
-            size = min(window, len(w))
-            for k in range(len(w) - size + 1 if size else 0):
-                rows.append(np.concatenate([np.zeros(window - size, np.int64), w[k : k + size]]))
-                sizes.append(size)
-                owners.append(item)
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.patterns, of = np.unique(table, axis=0, return_inverse=True)
+            if len(w):  # a shorter item's one window is padded on the left
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(max(0, window - len(w)), np.int64), w]), window))
+                owners += [item] * len(rows[-1])
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
         self.lengths = (self.patterns > 0).sum(1)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
         pairs = sorted({(int(p), str(o)) for p, o in zip(of.ravel(), owners, strict=True) if o is not None})
@@ -170,8 +170,11 @@ class Phrases:
         return word[index.locate(rows)], self.lengths[phrase], phrase
 
 
-def _search(phrases, window: int, final: bool, clean: bool):
-    """One part of the benchmark over batches (row columns..., text, spans, items); spans are word ranges found so far."""
+def _search(phrases, window: int, final: bool, clean: bool, alone: bool):
+    """One part of the benchmark over batches (row columns..., text, spans, items); spans are word ranges found so far.
+
+    `alone`: the benchmark has no other part, so that a cleaned text can be searched again at once.
+    """
 
     def shard(texts: pa.Array, spans: list, items: list) -> tuple[list, list, list, list, list]:
         p: Phrases = phrases.value
@@ -184,25 +187,29 @@ def _search(phrases, window: int, final: bool, clean: bool):
         rows = np.concatenate([row, *[np.full(len(x) // 16, i) for i, x in enumerate(spans) if x]]).astype(np.int64)
         found = np.concatenate(pieces)
         names = [set(x or ()) for x in items]
-        for r, ph in np.unique(np.stack([row, phrase], 1), axis=0):
-            names[r].update(p.items[p.items_at[ph] : p.items_at[ph + 1]])
+        if not clean:
+            for r, ph in np.unique(np.stack([row, phrase], 1), axis=0):
+                names[r].update(p.items[p.items_at[ph] : p.items_at[ph + 1]])
         step = np.zeros(len(s) + 1, np.int64)
         np.add.at(step, first[rows] + found[:, 0], 1)
         np.add.at(step, first[rows] + found[:, 0] + found[:, 1], -1)
         hit = np.cumsum(step)[:-1] > 0
         n_words, n_hit = np.diff(first), np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
         kept_spans = [None] * len(texts)
-        for r in np.unique(rows):
-            kept_spans[r] = found[rows == r].tobytes()
-        cleaned = texts.to_pylist() if clean else []
-        if clean:
+        if not final:
+            order = np.argsort(rows, kind="stable")
+            at = np.flatnonzero(np.diff(rows[order], prepend=-1))
+            for own in np.split(order, at[1:]) if len(order) else ():
+                kept_spans[rows[own[0]]] = found[own].tobytes()
+        cleaned = texts.to_pylist() if clean and final else []
+        if cleaned:
             for r in np.flatnonzero(n_hit):
                 h = np.concatenate([[False], hit[first[r] : first[r + 1]], [False]])
                 b, f = np.flatnonzero(h[1:] & ~h[:-1]) + first[r], np.flatnonzero(h[:-1] & ~h[1:]) - 1 + first[r]
                 raw = data[offs[r] : offs[r + 1]].tobytes()
                 edges = [0, *np.stack([s[b] - offs[r], e[f] - offs[r]], 1).ravel().tolist(), len(raw)]
                 cleaned[r] = b"\n".join(raw[x:y].strip() for x, y in zip(edges[::2], edges[1::2], strict=True)).strip().decode()
-            if (cut_rows := np.flatnonzero(n_hit)).size:  # words that a cut has brought together can make a window
+            if alone and (cut_rows := np.flatnonzero(n_hit)).size:  # words that a cut has brought together can make a window
                 again = shard(pa.array([cleaned[r] for r in cut_rows], pa.string()), [None] * len(cut_rows), [None] * len(cut_rows))[4]
                 for r, text in zip(cut_rows, again, strict=True):
                     cleaned[r] = text
@@ -227,28 +234,56 @@ def _search(phrases, window: int, final: bool, clean: bool):
     return run
 
 
-def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[Phrases]:
-    """The benchmark in parts of bounded size, one on the driver at a time."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"), (F.length(text_col) + 1).alias("n"))
+def _pieces(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(item, text, n): items in pieces of at most PIECE_WORDS window starts, so that no row is longer than a piece."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE_WORDS)))
+    pieces = rows.filter(F.size("w") > 0).withColumn("at", at).select("item", F.slice("w", F.col("at") + 1, PIECE_WORDS + window - 1).alias("w"))
+    return pieces.select("item", F.array_join("w", " ").alias("text"), F.size("w").alias("n"))
+
+
+def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[int, Callable[[], Iterator[Phrases]]]:
+    """The number of parts of bounded size, and the parts, one on the driver at a time."""
+    rows = _pieces(benchmark, window, id_col, text_col)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = 1 + int(total) // (PART_WORDS * 6)
-    for k in range(parts):
-        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield Phrases([(r.item, r.text) for r in mine.select("item", "text").collect()], window)
+    parts = 1 + int(total) // PART_WORDS
+
+    def each() -> Iterator[Phrases]:
+        for k in range(parts):
+            mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+            yield Phrases([(r.item, r.text) for r in mine.select("item", "text").collect()], window)
 
+    return parts, each
 
-def _run(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str], id_col: str, text_col: str, item_col: str, item_text_col: str, clean: bool) -> DataFrame:
-    """The columns of docs as c0, c1, ... with what the search gives."""
-    spark, last = docs.sparkSession, None
+
+def _run(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str], text_col: str, item_col: str, item_text_col: str, clean: bool) -> DataFrame:
+    """The columns of docs as c0, c1, ... with what the search gives.
+
+    With several parts, texts that a cut has changed are searched again for all parts, until no window is left in any.
+    """
+    spark = docs.sparkSession
     inner = [f"c{k}" for k in range(len(columns))]
-    state = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)], F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    own = [f"{n} {state.schema[n].dataType.simpleString()}" for n in inner]
-    for part in _parts(benchmark, window, item_col, item_text_col):
-        if last is not None:
-            state = cut(state.mapInArrow(_search(last, window, False, clean), ", ".join([*own, "text string, spans binary, items array<string>"])))
-        last = spark.sparkContext.broadcast(part)
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, inner, strict=True)], F.col(text_col).alias("text"))
+    own = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in inner]
+    n, parts = _parts(benchmark, window, item_col, item_text_col)
     tail = "text string, n_words long, n_hit long" if clean else "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
-    return state.mapInArrow(_search(last, window, True, clean), ", ".join([*own, tail]))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        state, last = rows.select(*inner, "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items")), None
+        for part in parts():
+            if last is not None:
+                state = cut(state.mapInArrow(_search(last, window, False, clean, False), ", ".join([*own, "text string, spans binary, items array<string>"])))
+            last = spark.sparkContext.broadcast(part)
+        return state.mapInArrow(_search(last, window, True, clean, n == 1), ", ".join([*own, tail]))
+
+    if not clean or n == 1:
+        return searched(rows)
+    out, left = None, rows
+    while out is None or not left.isEmpty():  # each round takes words out of every row that it passes on
+        found = cut(searched(left))
+        left, done = found.filter("n_hit > 0").select(*inner, "text"), found.filter("n_hit = 0")
+        out = done if out is None else out.union(done)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -257,17 +292,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     Words are runs of ASCII letters, digits and non-ASCII characters after A-Z are lower-cased. A window is `window`
     consecutive words of an item, or a shorter item's whole sequence; a word inside any occurrence of a window is hit. Null and
     wordless texts have no words; items without words have no windows; a null item id is searched for but not listed.
-    Repeated rows are judged each; empty tables give no rows or no hits; other columns are ignored.
+    Repeated rows are judged each; empty tables give no rows or no hits; other columns are ignored. Texts and items of any
+    length are searched whole; ids may be of any type.
     """
-    out = _run(docs, benchmark, window, [id_col], id_col, text_col, item_col, item_text_col, False)
+    out = _run(docs, benchmark, window, [id_col], text_col, item_col, item_text_col, False)
     return out.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with every hit span cut from the text, merged where spans overlap or touch; what remains is joined by line breaks.
 
-    Columns and rows stay, also rows whose text becomes empty; texts without a hit stay as they are.
+    No window of any item is left, also none of words that a cut has brought together. Columns and rows stay, also rows whose
+    text becomes empty; texts without a hit, null ones among them, stay as they are. docs may have columns of any names.
     """
     columns = [c for c in docs.columns if c != text_col]
-    out = _run(docs, benchmark, window, columns, "", text_col, item_col, item_text_col, True)
+    out = _run(docs, benchmark, window, columns, text_col, item_col, item_text_col, True)
     return out.select(*[F.col("text" if c == text_col else f"c{columns.index(c)}").alias(c) for c in docs.columns])
