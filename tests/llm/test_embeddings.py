@@ -48,3 +48,28 @@ def test_odd_vectors(spark):
     assert got.pop(1) == (1, 1, True) and got.pop(2) == (1, 1, False)
     assert all(v == (0, i, True) for i, v in got.items())
     assert run(spark, []) == {}
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    near = [[1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.02, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]]
+    rows = [("b", near[0]), ("c", near[1]), ("d", near[2]), ("b", near[3]), ("e", near[4]), ("b", near[0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect())
+    assert got == [("b", 1, "b"), ("b", 3, "b"), ("b", 3, "b"), ("c", 3, "b"), ("d", 3, "b"), ("e", 1, "b")]
+
+
+def test_recall_at_the_threshold_for_more_rotations(spark, monkeypatch):
+    """Pairs just above the threshold, hashed as a table of a million times as many vectors is."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 700, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.951 * a + np.sqrt(1 - 0.951**2) * b
+    few, many = embeddings.plan(1400, 48, 0.95), embeddings.plan(10**9, 48, 0.95)
+    assert few[0] < many[0] and few[1] < many[1] < embeddings.MOST_TABLES
+    monkeypatch.setattr(embeddings, "plan", lambda *_: embeddings_plan)
+    for embeddings_plan in (few, many):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([a, near]))], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicate_vectors(df).collect()}
+        assert sum(got[i] > 0 for i in range(700)) >= 697
