@@ -98,3 +98,19 @@ def test_registers_estimate_jaccard():
 def test_sets_are_by_row():
     sets = list(minhash.shingle_sets(pa.array(ODD_TEXTS), 5))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in ODD_TEXTS]
+
+
+def test_repeated_ids_with_sets_of_equal_size(spark, rng):
+    """Two different texts of one id and of as many shingles: a near copy of the first is linked, whichever comes first."""
+    first, other = prose(rng, 60), prose(rng, 60)
+    copy = first.split(" ")
+    copy[30] = "changed"
+    rows = [("d5", first), ("d5", other), ("d7", " ".join(copy)), ("d8", other.upper()), ("d9", prose(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == [("d5", "d5"), ("d5", "d5"), ("d7", "d5"), ("d8", "d5"), ("d9", "d9")]
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.band_size(85) == 8 and minhash.band_size(80) == 6
+    assert all((1 - (p / 100) ** (b := minhash.band_size(p))) ** (minhash.REGISTERS // b) <= 1e-4 for p in range(60, 100))

@@ -31,24 +31,31 @@ MISSED, ROOM, MOST_ROTATIONS, MOST_TABLES = 3e-4, 16, 5, 60
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row, in log2(columns) passes."""
-    n, width = x.shape[1], 1
+    """Walsh-Hadamard transform of each column, in log2(rows) passes."""
+    n, width = len(x), 1
+    out = x.copy()
     while width < n:
-        y = x.reshape(len(x), n // (2 * width), 2, width)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(x), n)
+        y = out.reshape(n // (2 * width), 2, width, -1)
+        left = y[:, 0] - y[:, 1]
+        y[:, 0] += y[:, 1]
+        y[:, 1] = left
         width *= 2
-    return x / np.sqrt(n)
+    return out / np.asarray(np.sqrt(n), x.dtype)
 
 
-def _nearest_axes(x: np.ndarray, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest signed axes of rotated rows, nearest first, and their coordinates."""
+def _nearest_axes(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The PROBES nearest signed axes of rotated columns, nearest first, and their coordinates, by column."""
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(3):
-        x = _hadamard(x * rng.choice([-1.0, 1.0], x.shape[1]))
-    both = np.concatenate([x, -x], 1)
-    most = min(most, both.shape[1])
-    order = np.argsort(-both, axis=1, kind="stable")[:, :most]
-    return order, np.take_along_axis(both, order, 1)
+        x = _hadamard(x * rng.choice(np.array([-1.0, 1.0], x.dtype), len(x))[:, None])
+    far, columns = np.abs(x), np.arange(x.shape[1])
+    axes, near = np.empty((x.shape[1], PROBES), np.int64), np.empty((x.shape[1], PROBES))
+    for k in range(PROBES):
+        at = far.argmax(0)
+        near[:, k] = far[at, columns]
+        axes[:, k] = at + len(x) * (x[at, columns] < 0)
+        far[at, columns] = -1
+    return axes, near
 
 
 def padded_size(dims: int) -> int:
@@ -59,13 +66,13 @@ def padded_size(dims: int) -> int:
 def signatures(x: np.ndarray, tables: int, rotations: int) -> np.ndarray:
     """(rows, tables, PROBES) bucket numbers: first the own bucket, then the others by the distance that leads to them."""
     size = padded_size(x.shape[1])
-    padded = np.zeros((len(x), size))
-    padded[:, : x.shape[1]] = x
+    padded = np.zeros((size, len(x)), np.float32)
+    padded[: x.shape[1]] = x.T
     out = np.empty((len(x), tables, PROBES), np.int64)
     for t in range(tables):
         loss, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
         for k in range(rotations):
-            axes, near = _nearest_axes(padded, t * MOST_ROTATIONS + k, PROBES)
+            axes, near = _nearest_axes(padded, t * MOST_ROTATIONS + k)
             worse = (loss[:, :, None] + ((near[:, :1] - near) ** 2)[:, None, :]).reshape(len(x), -1)
             best = np.argsort(worse, axis=1, kind="stable")[:, :PROBES]
             loss = np.take_along_axis(worse, best, 1)
@@ -131,7 +138,7 @@ def _sign(tables: int, rotations: int):
             vectors = batch.column(2).to_pylist()
             sig, slim, wide = [None] * len(vectors), [None] * len(vectors), np.ones(len(vectors), bool)
             for at, x in _by_length(vectors, np.ones(len(vectors), bool)):
-                s = signatures(x, tables, rotations)
+                s = np.concatenate([signatures(x[k : k + 2048], tables, rotations) for k in range(0, len(x), 2048)])
                 for k, i in enumerate(at):
                     v = np.frombuffer(vectors[i], np.float64)
                     with np.errstate(over="ignore"):

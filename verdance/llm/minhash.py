@@ -5,7 +5,8 @@ hash in a bucket). Bands of registers propose pairs, the registers' collision-co
 full shingle sets decide. Equal sets are one class and take part once; their copies join again at the end.
 
 Pairs of a band's bucket are not listed: first each member meets the bucket's smallest document. Where a bucket still holds
-several components, its members are dealt in blocks, with their shingle sets. A task takes a pair in the first band that it
+several components, its members are dealt in blocks: first with their registers only, which tell the members that have a
+likely partner in the block, and then those members with their shingle sets. A task takes a pair in the first band that it
 shares, passes over pairs that the estimate rules out or that are connected by now, and confirms the rest, likeliest first;
 only links that join two components leave it.
 """
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import LOWER_LUT, SPACE_WORDS, U64, as_signed, cut, mix, shingle_hashes, slices, utf8, word_hashes, words
 from .graph import connected_components, loose
 
-REGISTERS, BAND, MANTISSA = 256, 8, 10
+REGISTERS, MANTISSA = 256, 10
 EMPTY = 0xFFFF
-BLOCK = 1024
+#: Rows of a block, parts that a bucket's rows are salted into, and the chance that a pair at the threshold shares no band.
+BLOCK, SALTS, MISSED = 1024, 16, 1e-4
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -69,33 +71,51 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, chances_a: np.ndarray, chance
     return np.clip((same - expected) / np.maximum(used - expected, 1), 0, 1), used
 
 
+def band_size(percent: int) -> int:
+    """The most registers of a band with which a pair at the threshold, all registers filled, shares none with chance MISSED at most."""
+    return next(b for b in range(8, 0, -1) if (1 - (percent / 100) ** b) ** (REGISTERS // b) <= MISSED or b == 1)
+
+
+def band_keys(regs: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each row's bands, their last six bits the band's number, and whether any register of the band is filled."""
+    some = regs[:, : REGISTERS // band * band].reshape(len(regs), -1, band)
+    number = np.arange(some.shape[1], dtype=U64)
+    key = np.zeros(some.shape[:2], U64) + number
+    for k in range(band):
+        key = mix(key * U64(0xD6E8FEB86659FD93) + some[:, :, k].astype(U64))
+    return ((key & ~U64(63)) | (number & U64(63))), (some != EMPTY).any(2)
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, total, xors, regs = [], [], [], []
-            for u in shingle_sets(batch.column(1), size):
+            for u in shingle_sets(batch.column(2), size):
                 m = mix(u)
                 n.append(len(u))
                 total.append(m.sum(dtype=U64))
                 xors.append(np.bitwise_xor.reduce(m ^ (m << U64(1))) if len(m) else U64(0))
                 regs.append(registers(u).tobytes() if len(u) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(as_signed(np.array(total, U64))), pa.array(as_signed(np.array(xors, U64))), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "regs"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(as_signed(np.array(total, U64))), pa.array(as_signed(np.array(xors, U64))), pa.array(regs, pa.binary())],
+                ["doc_id", "t", "n_shingles", "f1", "f2", "regs"],
             )
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, REGISTERS // BAND, BAND // 4)
-        key = np.zeros(regs.shape[:2], U64) + np.arange(regs.shape[1], dtype=U64)
-        for k in range(regs.shape[2]):
-            key = mix(key * U64(0xD6E8FEB86659FD93) + regs[:, :, k])
-        key = (key & ~U64(31)) | np.arange(regs.shape[1], dtype=U64)
-        row, band = np.nonzero((regs != U64(0xFFFFFFFFFFFFFFFF)).any(2))
-        yield pa.RecordBatch.from_arrays([pa.array(as_signed(key[row, band])), batch.column(0).take(pa.array(row))], ["key", "node"])
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _bands(band: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, filled = band_keys(_matrix(batch.column(1)), band)
+            row, at = np.nonzero(filled)
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(key[row, at])), batch.column(0).take(pa.array(row))], ["key", "node"])
+
+    return run
 
 
 def _confirm(size: int, percent: int):
@@ -107,48 +127,8 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """From rows (key, bi, bj, block, node, label, shingles), sorted by the first three: links between different labels, a forest of each run."""
-
-    def links(t: dict) -> tuple[list[int], list[int]]:
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(t["key"]) != 0) | (np.diff(t["bi"]) != 0) | (np.diff(t["bj"]) != 0)]))
-        found: tuple[list[int], list[int]] = [], []
-        for lo, hi in zip(new, [*new[1:], len(t["key"])], strict=True):
-            _, label = np.unique(t["label"][lo:hi], return_inverse=True)
-            if label.max() == 0:
-                continue
-            sets, node, block = t["sets"][lo:hi], t["node"][lo:hi], t["block"][lo:hi]
-            regs, size = np.stack([registers(u) for u in sets]), np.array([len(u) for u in sets])
-            odds, bands, here = chances(size), regs.view(np.uint64).reshape(len(sets), -1, BAND // 4), int(t["key"][lo] & 31)
-            left, right = np.flatnonzero(block == t["bi"][lo]), np.flatnonzero(block == t["bj"][lo])
-            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-            ok = (label[i] != label[j]) & ((node[i] < node[j]) | (t["bi"][lo] != t["bj"][lo]))
-            i, j, kept = i[ok], j[ok], []
-            for s in range(0, len(i), 10_000):
-                x, y = i[s : s + 10_000], j[s : s + 10_000]
-                shared = ((bands[x] == bands[y]).all(2) & (bands[x] != U64(0xFFFFFFFFFFFFFFFF)).any(2)).argmax(1)
-                x, y = x[shared == here], y[shared == here]
-                est, used = jaccard_estimate(regs[x], regs[y], odds[x], odds[y])
-                near = est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
-                kept.append(np.stack([x, y, (est * -1e6).astype(np.int64)], 1)[near])
-            kept = np.concatenate([np.zeros((0, 3), np.int64), *kept])
-            kept = kept[np.argsort(kept[:, 2], kind="stable")]
-            for s in range(0, len(kept), 500):
-                x, y = kept[s : s + 500, 0], kept[s : s + 500, 1]
-                for a, b in zip(*(k[label[x] != label[y]] for k in (x, y)), strict=True):
-                    if label[a] == label[b]:
-                        continue
-                    both = len(np.intersect1d(sets[a], sets[b], True))
-                    if 100 * both >= percent * (size[a] + size[b] - both):
-                        found[0].append(int(node[a])), found[1].append(int(node[b]))
-                        label[label == label[b]] = label[a]
-        return found
-
-    def results(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        columns = {c: t[c].to_numpy() for c in ("key", "bi", "bj", "block", "node", "label")}
-        a, b = links(columns | {"sets": [np.frombuffer(x, U64) for x in t["shingles"].to_pylist()]})
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _runs(results):
+    """Batches sorted by their first three columns, cut into whole runs of these for `results`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -173,6 +153,80 @@ def _blocks(percent: int):
     return run
 
 
+def _bounds(t: pa.Table) -> Iterator[tuple[int, int]]:
+    key, bi, bj = (t[c].to_numpy() for c in RUN)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)]))
+    return zip(new, [*new[1:], len(key)], strict=True)
+
+
+def near_pairs(t: dict, regs: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (x, y, estimate) of a run's pairs of different labels that the estimate doesn't rule out, in the first band that they share, likeliest first.
+
+    Passed over are pairs whose estimate is five standard deviations below the threshold.
+    """
+    odds, (bands, filled), here = chances(size), band_keys(regs, band_size(percent)), int(t["key"][0] & 63)
+    left, right = np.flatnonzero(t["block"] == t["bi"][0]), np.flatnonzero(t["block"] == t["bj"][0])
+    kept = [np.zeros((0, 3), np.int64)]
+    step = max(1, 10_000 // max(1, len(right)))
+    for s in range(0, len(left), step):
+        some = left[s : s + step]
+        i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+        ok = (label[i] != label[j]) & ((t["node"][i] < t["node"][j]) | (t["bi"][0] != t["bj"][0]))
+        i, j = i[ok], j[ok]
+        shared = ((bands[i] == bands[j]) & filled[i]).argmax(1)
+        i, j = i[shared == here], j[shared == here]
+        est, used = jaccard_estimate(regs[i], regs[j], odds[i], odds[j])
+        near = est >= percent / 100 - 5 * np.sqrt(0.1275 / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+        kept.append(np.stack([i, j, (est * -1e6).astype(np.int64)], 1)[near])
+    kept = np.concatenate(kept)
+    return kept[np.argsort(kept[:, 2], kind="stable")]
+
+
+def _likely(percent: int):
+    """From rows (key, bi, bj, block, node, label, n, regs): those rows that have a likely partner in their run, without n and regs."""
+
+    def results(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t, rows = pa.Table.from_batches(parts), []
+        columns = {c: t[c].to_numpy() for c in (*RUN, "block", "node")}
+        for lo, hi in _bounds(t):
+            _, label = np.unique(t["label"].to_numpy()[lo:hi], return_inverse=True)
+            if label.max() == 0:
+                continue
+            pairs = near_pairs({c: x[lo:hi] for c, x in columns.items()}, _matrix(t["regs"].slice(lo, hi - lo)), t["n"].to_numpy()[lo:hi], label, percent)
+            rows.append(lo + np.unique(pairs[:, :2]))
+        at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+        return t.select(list(range(6))).take(at).combine_chunks().to_batches(max_chunksize=None)[0] if len(at) else parts[0].slice(0, 0).select(list(range(6)))
+
+    return _runs(results)
+
+
+def _blocks(percent: int):
+    """From rows (key, bi, bj, block, node, label, shingles), sorted by the first three: links between different labels, a forest of each run."""
+
+    def results(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t, found = pa.Table.from_batches(parts), ([], [])
+        columns = {c: t[c].to_numpy() for c in (*RUN, "block", "node")}
+        for lo, hi in _bounds(t):
+            _, label = np.unique(t["label"].to_numpy()[lo:hi], return_inverse=True)
+            if label.max() == 0:
+                continue
+            sets, node = [np.frombuffer(x, U64) for x in t["shingles"].slice(lo, hi - lo).to_pylist()], columns["node"][lo:hi]
+            size = np.array([len(u) for u in sets])
+            kept = near_pairs({c: x[lo:hi] for c, x in columns.items()}, np.stack([registers(u) for u in sets]), size, label, percent)
+            for s in range(0, len(kept), 500):
+                x, y = kept[s : s + 500, 0], kept[s : s + 500, 1]
+                for a, b in zip(*(k[label[x] != label[y]] for k in (x, y)), strict=True):
+                    if label[a] == label[b]:
+                        continue
+                    both = len(np.intersect1d(sets[a], sets[b], True))
+                    if 100 * both >= percent * (size[a] + size[b] - both):
+                        found[0].append(int(node[a])), found[1].append(int(node[b]))
+                        label[label == label[b]] = label[a]
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+
+    return _runs(results)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,53 +235,67 @@ def _sets(size: int):
     return run
 
 
+RUN = ("key", "bi", "bj")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs: classes of documents linked at Jaccard >= percent/100.
 
     Words are runs of non-space characters after A-Z are lower-cased; a text of fewer than `shingle` words, but not none, is
-    one shingle. Null and wordless texts have no shingles and link with nothing. Rows with a null id are counted but not
-    linked: component_id is null and kept true. Rows that repeat an id are compared each by its own text; identical rows share
-    their result. Other columns are ignored.
+    one shingle. Null and wordless texts have no shingles and link with nothing; texts of any length take part whole. Ids may
+    be of any type with an order. Rows with a null id are counted but not linked: component_id is null and kept true. Rows that
+    repeat an id are compared each by its own text, and component_id tells the smallest id; identical rows share their
+    result. Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    band, id_type = band_size(percent), docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(docs.mapInArrow(_sketch(shingle), f"doc_id {id_type}, t long, n_shingles long, f1 long, f2 long, regs binary"))
     equal = ["n_shingles", "f1", "f2"]
-    classes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*equal).agg(F.min("doc_id").alias("node")))
-    sketches = rows.select("doc_id", *equal, "regs").join(classes.withColumnRenamed("node", "doc_id").select("doc_id", *equal), ["doc_id", *equal], "left_semi")
-    sketches = cut(sketches.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["node", "n"]))
-    banded = sketches.select("node", "regs").mapInArrow(_bands, "key long, node long")
+    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t"))
+    classes = cut(classes.withColumn("node", F.xxhash64(*equal)))  # ids may repeat, so classes have names of their own
+    sketches = rows.select("doc_id", "t", *equal, "regs").join(classes, ["doc_id", "t", *equal])
+    sketches = cut(sketches.select("node", F.col("n_shingles").alias("n"), "regs").dropDuplicates(["node"]))
+    banded = sketches.select("node", "regs").mapInArrow(_bands(band), "key long, node long")
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     shared = cut(banded.join(loose(hubs, "key"), "key"))
     pairs = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
-    partnered = shared.select("node").distinct()
-    texts = cut(docs.join(loose(partnered.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left_semi"))
+    partnered = shared.select("node").distinct().join(loose(classes.select("node", "doc_id", "t"), "node"), "node")
+    texts = cut(docs.join(partnered, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "node"]).select("node", "text"))
 
     def confirmed(found: DataFrame) -> DataFrame:
-        with_a = found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        with_a = found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return cut(both.mapInArrow(_confirm(shingle, percent), "a long, b long"))
 
     edges = confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = connected_components(edges)
 
     labelled = shared.filter("members > 2").join(loose(labels, "node"), "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_rows = cut(
-        labelled.join(loose(mixed, "key"), "key", "left_semi")
+        labelled.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        .join(loose(mixed, "key"), ["key", "salt"], "left_semi")
         .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label")
     )
-    wanted = loose(open_rows.select("node").distinct(), "node")
-    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
-    dealt = open_rows.join(sets, "node").select("key", "bi", "bj", "block", "node", "label", "shingles").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    run = "key long, bi int, bj int, block int, node long, label long"
+    with_regs = open_rows.join(loose(sketches, "node"), "node").select(*RUN, "block", "node", "label", "n", "regs").repartition(*RUN).sortWithinPartitions(*RUN)
+    likely = cut(with_regs.mapInArrow(_likely(percent), run))
+    wanted = loose(likely.select("node").distinct(), "node")
+    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
+    dealt = likely.join(sets, "node").select(*RUN, "block", "node", "label", "shingles").repartition(*RUN).sortWithinPartitions(*RUN)
     more = cut(dealt.mapInArrow(_blocks(percent), "u long, v long"))
     components = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    named = classes.join(loose(components, "node"), "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
+    named = classes.withColumnRenamed("doc_id", "least_id").join(loose(components, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = cut(named.select(*equal, "least_id", "component"))
+    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = named.join(loose(smallest, "component"), "component").select(*equal, "component_id")
     out = rows.select("doc_id", *equal).join(loose(named, *equal), equal, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
