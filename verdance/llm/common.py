@@ -5,12 +5,14 @@ Everything here works on one Arrow batch inside a Spark task; nothing gathers da
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,14 +30,24 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df into the cluster's shared folder, so that a lost executor costs no more than this step."""
+    """Checkpoint df into the cluster's shared folder, so that a lost executor costs no more than this step.
+
+    Only a local session may do without `spark.checkpoint.dir`: it gets a temporary folder.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="verdance-checkpoint-"))
     return df.checkpoint(True)
 
 
+def sampled(hash_column: str, share: Column) -> Column:
+    """Whether a row is in a sample of this share by a 64-bit hash, down to shares of 2^-52."""
+    return F.pmod(F.col(hash_column), F.lit(1 << 52)) < share * float(1 << 52)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), elementwise."""
     x = x.astype(U64, copy=True)

@@ -2,7 +2,8 @@
 
 N-grams of one to three characters are hashed. Document frequencies cover all training documents; the weights are learned on a
 bounded sample per language by follow-the-regularised-leader with an elastic net, and a temperature fitted on a part of the
-sample that the weights have not seen makes the scores calibrated probabilities.
+sample that the weights have not seen makes the scores calibrated probabilities. One task learns from the sample, whose size
+is bounded; the driver gets the finished weights.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 BITS = 14
 FEATURES = 1 << BITS
 #: Characters that one working block of a task holds at most, unless a single text is longer.
@@ -98,8 +101,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, passes: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
-    """Weights (features and a bias, by class) after `passes` passes over rows of (features, values, class).
+def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, passes: int, alpha: float, beta: float, l1: float, l2: float, together: int = 16) -> np.ndarray:
+    """Weights (features and a bias, by class) after `passes` passes over rows of (features, values, class), `together` rows a step.
 
     Each coordinate's weight is the minimiser of the linearised losses so far plus elastic-net and proximal terms; weights whose
     summed gradient stays under l1 are zero.
@@ -110,13 +113,22 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: i
         x = z[at]
         return np.where(np.abs(x) <= l1, 0.0, (np.sign(x) * l1 - x) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
+    steps = []
+    for s in range(0, len(rows), together):
+        some = rows[s : s + together]
+        feature = np.concatenate([np.append(f, FEATURES) for f, _, _ in some])
+        value = np.concatenate([np.append(v, 1.0) for _, v, _ in some])
+        begin = np.cumsum([0, *[len(f) + 1 for f, _, _ in some[:-1]]])
+        at, place = np.unique(feature, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        steps.append((at, place, value, begin, np.array([k for _, _, k in some]), order, np.searchsorted(place[order], np.arange(len(at)))))
     for _ in range(passes):
-        for feature, value, label in rows:
-            at, v = np.append(feature, FEATURES), np.append(value, 1.0)
+        for at, place, value, begin, label, order, first in steps:
             w = weights(at)
-            error = softmax(v @ w)
-            error[label] -= 1
-            g = v[:, None] * error
+            error = softmax(np.add.reduceat(value[:, None] * w[place], begin))
+            error[np.arange(len(label)), label] -= 1
+            each = value[:, None] * np.repeat(error, np.diff(np.append(begin, len(value))), axis=0)
+            g = np.add.reduceat(each[order], first)
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
@@ -135,33 +147,60 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, per_language: int = 1500, passes: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1, lang_col: str = "lang", text_col: str = "text", order: Column | None = None) -> Model | None:
+def learned(rows: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str], idf: np.ndarray, passes: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, float]:
+    """Weights and temperature from (language, features, counts) in their order; every fifth row is kept for the temperature."""
+    learn, check = [], []
+    for k, (lang, feature, count) in enumerate(rows):
+        (check if k % 5 == 4 else learn).append((feature, tf_idf(np.zeros(len(feature), np.int64), feature, count, idf, 1), languages.index(lang)))
+    w = follow_the_leader(learn, len(languages), passes, alpha, beta, l1, l2)
+    z = np.array([v @ w[f] + w[FEATURES] for f, v, _ in check]).reshape(-1, len(languages))
+    return w, fit_temperature(z, np.array([y for _, _, y in check], np.int64))
+
+
+def _fit(idf, languages: list[str], *how):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        found.sort(key=lambda r: (r[1], r[0], r[2]))
+        if found:
+            rows = [(lang, np.frombuffer(feature, np.int32), np.frombuffer(count, np.int32)) for lang, _, feature, count in found]
+            w, temperature = learned(rows, languages, idf.value, *how)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([temperature])], ["weights", "temperature"])
+
+    return run
+
+
+def _sample(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """(lang, text, part) of about `per_language` different texts of each language in sizes; part puts them in an order of its own."""
+    share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / max(n, 1)))]), F.col("lang"))
+    sample = rows.filter(sampled("h", share)).groupBy("lang", "text").agg(F.min("h").alias("h"))
+    return sample.select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(1 << 30)).alias("part"))
+
+
+def train(docs: DataFrame, per_language: int = 1500, most_languages: int = 500, passes: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1, lang_col: str = "lang", text_col: str = "text", order: Column | None = None) -> Model | None:
     """A model of docs' non-null languages; None without any. Null and letterless texts teach nothing.
 
     Document frequencies cover all rows. The weights see a sample of about `per_language` different texts of each language,
     chosen by a hash (`order`, of the text by default), a fifth of it kept for the temperature. Copies of a text are one in it,
-    so that a frequent text neither outgrows the sample nor swamps the weights.
+    so that a frequent text neither outgrows the sample nor swamps the weights. Where `lang` holds more than `most_languages`
+    values, as a dirty column does, the most frequent ones are learned, of equal ones the first by code point. Texts of any
+    length count whole; other columns are ignored.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (order if order is not None else F.xxhash64(text_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    number = F.count("*") if order is not None else F.count_distinct("h")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(number.alias("n")).collect()}
+    number = F.count("*") if order is not None else F.approx_count_distinct("h", 0.02)
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(number.alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()}
     if not sizes:
         return None
     df = rows.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
     frequency = np.zeros(FEATURES + 1)
     frequency[df.feature] = df.df
     idf = np.log((1 + frequency[FEATURES]) / (1 + frequency[:FEATURES])) + 1
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    sample = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "text").agg(F.min("h").alias("h")).select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(1 << 30)).alias("part"))
-    got = sample.mapInArrow(_vectors, "lang string, part long, features binary, counts binary").toPandas().sort_values(["part", "lang", "features"], kind="stable")
-    languages = sorted(sizes)
-    learn, check = [], []
-    for k, r in enumerate(got.itertuples()):
-        feature, count = np.frombuffer(r.features, np.int32), np.frombuffer(r.counts, np.int32)
-        (check if k % 5 == 4 else learn).append((feature, tf_idf(np.zeros(len(feature), np.int64), feature, count, idf, 1), languages.index(r.lang)))
-    w = follow_the_leader(learn, len(languages), passes, alpha, beta, l1, l2)
-    z = np.array([v @ w[f] + w[FEATURES] for f, v, _ in check]).reshape(-1, len(languages))
-    return Model(languages, idf, w, fit_temperature(z, np.array([y for _, _, y in check], np.int64)))
+    sample = _sample(rows, sizes, per_language)
+    languages, sc = sorted(sizes), docs.sparkSession.sparkContext
+    vectors = sample.mapInArrow(_vectors, "lang string, part long, features binary, counts binary").repartition(1)
+    got = vectors.mapInArrow(_fit(sc.broadcast(idf), languages, passes, alpha, beta, l1, l2), "weights binary, temperature double").collect()
+    if not got:
+        return None
+    return Model(languages, idf, np.frombuffer(got[0].weights).reshape(FEATURES + 1, len(languages)), got[0].temperature)
 
 
 def _predict(model):
@@ -181,12 +220,15 @@ def _predict(model):
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Columns `keep` of each row with lang_pred and score, the calibrated probability of it.
 
-    Texts that are null or have no letter, and all texts where there is no model, are `und` with score 0.
+    Texts that are null or have no letter, and all texts where there is no model, are `und` with score 0. Rows may repeat, and
+    kept columns may have any names but lang_pred and score. Texts of any length are judged whole.
     """
-    rows = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_text"))
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]
+    rows = docs.select(*own, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep)]
     if model is None:
-        return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    rows = rows.select(*keep, F.col("_text").isNotNull().alias("_has"), "_text")
-    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{kept}, _has boolean, lang_pred string, score double")
-    return out.select(*keep, F.when(F.col("_has"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("_has"), F.col("score")).otherwise(0.0).alias("score"))
+        return rows.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    kept = ", ".join(f"c{k} {rows.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(keep)))
+    rows = rows.select(*[f"c{k}" for k in range(len(keep))], F.col("text").isNotNull().alias("has"), "text")
+    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{kept}, has boolean, lang_pred string, score double")
+    return out.select(*back, F.when(F.col("has"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("has"), F.col("score")).otherwise(0.0).alias("score"))
