@@ -39,7 +39,7 @@ def test_weights_equal_a_direct_ratio(spark, rng):
     docs, labels = tables(spark, rng)
     c = quality.Classifier(docs, labels)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    ratio = c.ratio.value
+    ratio = c.ratio.value[0]
     import pyarrow as pa
 
     for r in c.report().filter("doc_id < 20").collect():

@@ -3,7 +3,8 @@
 Two generative models of hashed n-grams are counted: one of target text (documents labelled good), one of all raw text. A
 document's log importance weight is the log ratio of its probabilities under both; adding Gumbel noise and keeping the k largest
 samples k documents without replacement in proportion to their weights. k is the number of documents whose weight is above the
-cut that separates the labelled good from the labelled bad best.
+cut that separates the labelled good from the labelled bad best. Labelled rows are weighed for the cut by target models that
+were counted without them, fold by fold.
 
 N-grams are words, pairs of words, and pairs of word shapes. A word is a run of letters, digits and non-ASCII characters or a
 run of punctuation; its shape is its kind, case and length class, and whether it repeats one of the two words before.
@@ -18,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, SPACE_WORDS, U64, cut, mix, slices, utf8, word_hashes
+from .common import ALNUM_WORDS, SPACE_WORDS, U64, cut, mix, sampled, slices, utf8, word_hashes
 
 BITS = 16
 BUCKETS = 1 << BITS
 SMOOTHING = 0.5
 #: Labelled rows that the target model and the cut are fitted on at most, chosen by a hash of their ids.
 LABELLED = 20_000
+#: Parts of the labelled rows; each is weighed by a target model of the other parts.
+FOLDS = 5
 
-_KIND = np.where(ALNUM_WORDS, 1, 2).astype(np.uint8) * SPACE_WORDS.astype(np.uint8)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_KIND = np.where(ALNUM_WORDS | _UPPER, 1, 2).astype(np.uint8) * SPACE_WORDS.astype(np.uint8)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,22 +55,27 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([row, row[1:][pair], row[1:][pair]]), (np.concatenate([h, words2, shapes2]) >> U64(64 - BITS)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        data, offs = utf8(batch.column(0))
-        for lo, hi in slices(offs):
-            total += np.bincount(features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])[1], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+def _counts(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(parts * BUCKETS, np.int64)
+        for batch in batches:
+            part = batch.column(0).to_numpy().astype(np.int64)
+            data, offs = utf8(batch.column(1))
+            for lo, hi in slices(offs):
+                row, bucket = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                total += np.bincount(part[lo + row] * BUCKETS + bucket, minlength=parts * BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    return run
 
 
-def ngram_totals(texts: DataFrame) -> np.ndarray:
-    """Counts by bucket over all rows of a one-column table; their number is fixed."""
-    rows = texts.mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
+def ngram_totals(texts: DataFrame, parts: int = 1) -> np.ndarray:
+    """Counts by part and bucket over all rows of a table of (part, text); their number is fixed."""
+    rows = texts.mapInArrow(_counts(parts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(parts * BUCKETS)
     out[rows.bucket.to_numpy()] = rows.n.to_numpy()
-    return out
+    return out.reshape(parts, BUCKETS)
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -76,13 +84,16 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _scores(ratio):
+    """Adds the weights and numbers of n-grams of the last column's texts; the column before it names the ratio."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            part = batch.column(batch.num_columns - 2).to_numpy().astype(np.int64)
             data, offs = utf8(batch.column(batch.num_columns - 1))
             weight, n = [], []
             for lo, hi in slices(offs):
                 row, bucket = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                weight.append(np.bincount(row, ratio.value[bucket], minlength=hi - lo))
+                weight.append(np.bincount(row, ratio.value[part[lo + row], bucket], minlength=hi - lo))
                 n.append(np.bincount(row, minlength=hi - lo))
             weight, n = (np.concatenate([np.zeros(0), *x]) for x in (weight, n))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(n.astype(np.int64))], [*batch.schema.names, "_weight", "_ngrams"])
@@ -95,10 +106,11 @@ def _gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def _score(docs: DataFrame, ratio, keep: list[str], id_col: str, text_col: str, seed: int) -> DataFrame:
+def _score(docs: DataFrame, ratio, keep: list[str], id_col: str, text_col: str, seed: int, part: Column | None = None) -> DataFrame:
     """`keep` of docs as c0, c1, ... with _weight, _ngrams and _rank: weight and noise in millionths, as a whole number."""
     inner = [f"c{k}" for k in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)], F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).alias("_key"), F.col(text_col).alias("_text"))
+    part = F.lit(0) if part is None else part
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)], F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).alias("_key"), part.cast("int").alias("_part"), F.col(text_col).alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     out = rows.mapInArrow(_scores(ratio), f"{schema}, _weight double, _ngrams long")
     return out.withColumn("_rank", F.floor((F.col("_weight") + _gumbel(F.col("_key"), seed)) * 1e6))
@@ -142,18 +154,24 @@ class Classifier:
         """docs: all raw text. labels: id, quality 0/1 and toxic 0/1; at most about `labelled` rows of it are used.
 
         Target text is of quality 1 and not toxic. Null labels and labels of ids that docs lacks say nothing; labels that
-        contradict each other count as the worse. Without labels of both kinds every document is kept.
+        contradict each other count as the worse. Without labels of both kinds every document is kept. Texts count whole,
+        whatever their length; docs may have other columns of any names. Rows that repeat an id or have none draw the same
+        noise where their ids (texts, where those are null) are equal, and ties at the k-th place all stay.
         """
         self.id_col, self.text_col, self.seed = id_col, text_col, seed
         sc = docs.sparkSession.sparkContext
-        label = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_q"), F.max(F.coalesce("toxic", F.lit(0))).alias("_t"))
-        share = min(1.0, labelled / max(1, label.count()))
-        label = label.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003).withColumnRenamed(id_col, "_label_of")
-        sample = cut(docs.join(F.broadcast(label), F.col(id_col) == F.col("_label_of")).select(F.col(id_col), F.col(text_col), "_q", "_t"))
-        raw = ngram_totals(docs.select(text_col))
-        target = ngram_totals(sample.filter("_q = 1 and _t = 0").select(text_col))
-        self.ratio = sc.broadcast(log_ratio(target, raw) if target.any() else np.zeros(BUCKETS))
-        seen = _score(sample, self.ratio, ["_q"], id_col, text_col, seed).select("c0", "_weight").toPandas()
+        label = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("label_of"))
+        label = label.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).withColumn("h", F.xxhash64("label_of", F.lit(seed)))
+        label = label.filter(sampled("h", F.lit(min(1.0, labelled / max(1, label.count())))))
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        sample = cut(texts.join(F.broadcast(label), F.col("id") == F.col("label_of")).select("id", "text", "q", "t", F.pmod(F.xxhash64("h"), F.lit(FOLDS)).cast("int").alias("fold")))
+        raw = ngram_totals(docs.select(F.lit(0).alias("part"), F.col(text_col)))[0]
+        folds = ngram_totals(sample.filter("q = 1 and t = 0").select("fold", "text"), FOLDS)
+        target = folds.sum(0)
+        none = np.zeros(BUCKETS)
+        others = np.stack([log_ratio(target - f, raw) if (target - f).any() else none for f in folds])
+        self.ratio = sc.broadcast((log_ratio(target, raw) if target.any() else none)[None])
+        seen = _score(sample, sc.broadcast(others), ["q"], "id", "text", seed, F.col("fold")).select("c0", "_weight").toPandas()
         self.cut = best_cut(seen._weight[seen.c0 == 1].to_numpy(), seen._weight[seen.c0 == 0].to_numpy())
         self.scored = cut(_score(docs, self.ratio, [id_col], id_col, text_col, seed).select("c0", "_weight", "_ngrams", "_rank"))
         self.k = self.scored.filter(F.col("_weight") >= F.lit(self.cut)).count()
