@@ -7,6 +7,7 @@ assigns to its sections. A token that crosses a section boundary goes where the
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 def encoder(tokens: list[bytes]):
-    """(encode, token lengths), built once in a Python worker."""
-    key = (len(tokens), hash(b"".join(tokens[:2000])))
+    """(encode, token lengths), built once for each vocabulary in a Python worker."""
+    key = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in tokens)).digest()
     if key not in _encoders:
         import tiktoken
 
@@ -105,7 +106,8 @@ def token_counts(docs: DataFrame, rule: str = "start", sections_col: str | None
 
     Sections are the text's lines, or lie between the code-point offsets of the array column `sections_col` (null: one
     section; offsets outside the text and repeats are passed over). Null and empty texts have no tokens and no sections. Ids
-    may be null or repeat; each row is counted. The vocabulary, of a fixed size, is read by the driver and broadcast.
+    may be of any type, null or repeat; each row is counted, its text of any length encoded whole; other columns are ignored,
+    and an empty table gives no rows. The vocabulary, of a fixed size, is read by the driver and broadcast.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
