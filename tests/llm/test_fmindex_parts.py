@@ -19,7 +19,7 @@ def test_removal_rechecks_all_parts(spark, rng, monkeypatch):
 
 
 def test_long_items_come_in_pieces(spark, rng, monkeypatch):
-    items = [(1, prose(rng, 57)), (2, prose(rng, 10)), (3, prose(rng, 4)), (4, "?!"), (5, None)]
+    items = [(1, prose(rng, 57).title()), (2, prose(rng, 10)), (3, prose(rng, 4)), (4, "?!"), (5, None)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(k, prose(rng, 30) + " . " + items[k % 3][1].upper() + " " + prose(rng, 9)) for k in range(9)], "doc_id long, text string")
     whole = sorted(map(tuple, fmindex.contamination(docs, benchmark).collect()))

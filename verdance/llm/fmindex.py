@@ -10,6 +10,7 @@ position, and the spans merged.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -236,7 +237,8 @@ def _search(phrases, window: int, final: bool, clean: bool, alone: bool):
 
 def _pieces(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(item, text, n): items in pieces of at most PIECE_WORDS window starts, so that no row is longer than a piece."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    lower = F.translate(F.coalesce(text_col, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE_WORDS)))
     pieces = rows.filter(F.size("w") > 0).withColumn("at", at).select("item", F.slice("w", F.col("at") + 1, PIECE_WORDS + window - 1).alias("w"))
     return pieces.select("item", F.array_join("w", " ").alias("text"), F.size("w").alias("n"))
