@@ -55,15 +55,13 @@ def test_probabilities_add_up():
     """Over all 257 symbols after any context, and over codes: the tree's paths have no gaps."""
     rng = np.random.default_rng(2)
     tree = lm.Tree.of(rng.integers(0, 1000, lm.END + 1))
-    mixer = lm.Mixer(tree, rng.normal(size=lm.SLOT_START[-1]).astype(np.float32), rng.integers(0, 50, lm.SLOT_START[-1]).astype(np.float32))
+    low = rng.integers(0, 50, 2 * lm.SLOT_START[-1]).astype(np.float32)
+    mixer = lm.Mixer()
     mixer.weights += rng.normal(scale=0.2, size=mixer.weights.shape)
-    context = rng.integers(0, 2**32, 5, dtype=np.uint64) << np.uint64(9)
-    for c in context:
-        assert (10 ** mixer.cost(c + np.arange(lm.END + 1, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-9)
-    keys = rng.integers(0, 2**41, 5000, dtype=np.uint64) & ~np.uint64(256)
-    remembered = lm.Costs(mixer, bits=6)
-    for _ in range(2):
-        assert remembered.of(keys) == pytest.approx(mixer.cost(keys))
+    for c in rng.integers(0, 2**32, 5, dtype=np.uint64) << np.uint64(9):
+        keys = c + np.arange(lm.END + 1, dtype=np.uint64)
+        n = rng.integers(0, 9, len(keys))
+        assert (10 ** mixer.cost(keys, lm.Decisions.of(tree, keys, n, low))).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_grams_keep_to_their_text():

@@ -1,25 +1,26 @@
 """Language-model scoring by logistic context mixing over hashed-context bit predictors, with a unigram base score.
 
 A text is a sequence of lower-cased bytes and an end symbol. Each symbol is a path of binary decisions in a Huffman tree of the
-training bytes. Five predictors know a decision by its node and the last 0 to 4 bytes: counts of ones and zeros in hashed slots,
-gathered over all training documents. Their logits are mixed by weights that a gate chooses (how often the two longest contexts
-have been seen), and an adaptive probability map, by the last byte, refines the result. Weights and map learn online from
-all training text. Each decision is predicted from counts without itself; equal contexts and symbols predict alike, so they are
-learned from together, with their number. They are dealt into shards by a hash; in each round every shard is passed online,
-from the weights and map of the round before, and the shards' results are added up by precision. The number of rounds is fixed.
-Then weights and map are frozen, so that documents can be scored anywhere and in any order; the same five symbols always cost
-the same. Last, a word with the
-delimiter after it is the mixture of its spelling under the bit model and its share of the training words: both are
-distributions over such pairs, so the result is one.
-
-The base score looks every word up in the training word counts. Documents travel in chunks of a few megabytes; a chunk asks
-for its distinct words once, so the lookup is a join on words, not on tokens.
+training bytes. Five predictors know a decision by its node and the last 0 to 4 bytes, from counts of ones and zeros over all
+training documents. Contexts of up to two bytes have hashed slots, in tables that need not grow, as such contexts are few by
+nature. Contexts of three and four bytes are counted exactly and stay partitioned, so that what is known of them grows with the
+corpus: grams, that is four context bytes and a symbol, are dealt into shards by a hash of their last three context bytes, and
+a shard has all grams of its contexts. The predictors' logits are mixed by weights that a gate chooses (how often the two longest
+contexts have been seen), and an adaptive probability map, by the last byte, refines the result.
+
+Weights and map learn online from all training text. Each decision is predicted from counts without itself; equal contexts and
+symbols predict alike, so they are learned from together, with their number. In each round every shard is passed online, from
+the weights and map of the round before, and the shards' results are added up by precision. The number of rounds is fixed. Then
+weights and map are frozen, and each shard gives the costs of its grams, those of documents that are not learned from included:
+documents can be scored anywhere and in any order, and the same five symbols always cost the same.
+
+Documents travel in chunks of a few megabytes. A chunk asks for its distinct words (the base score looks them up in the training
+counts) and its distinct grams once, so both lookups are joins on distinct keys, not on tokens.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,14 +35,12 @@ from .graph import loose
 
 CHUNK_BYTES, SLICE_BYTES = 8_000_000, 1_000_000
 END, ORDERS = 256, 5
-SPACES = (32, 9, 10, 11, 12, 13)
-SLOT_BITS = (10, 16, 18, 20, 20)
+#: Orders with hashed slots, and the number of slots of each.
+LOW, SLOT_BITS = 3, (10, 16, 18)
 SLOT_START = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 GATES, CELLS = 48, 33
-#: The weight of word shares against spellings.
-WORD_WEIGHT, LN10 = 0.5, np.log(10)
 #: Rounds over all training text, distinct grams of a shard, and the weight of where a pass begins, in decisions.
-ROUNDS, SHARD_GRAMS, PRIOR = 3, 250_000, 16.0
+ROUNDS, SHARD_GRAMS, PRIOR = 3, 50_000, 16.0
 
 
 # -- chunks of documents
@@ -136,16 +135,17 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, chunk, n): a chunk's distinct grams and their number in its learned documents."""
     for row in _each(batches):
         _, _, flags, data, offs = _unpack(row)
         keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for lo, hi in slices(offs, SLICE_BYTES):
             key, bounds = grams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            u, n = np.unique(key[np.repeat((flags[lo:hi] & 2) > 0, np.diff(bounds))], return_counts=True)
-            keys.append(u), counts.append(n)
+            u, at = np.unique(key, return_inverse=True)
+            keys.append(u), counts.append(np.bincount(at, np.repeat((flags[lo:hi] & 2) > 0, np.diff(bounds)), minlength=len(u)).astype(np.int64))
         u, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate(counts), minlength=len(u)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(as_signed(u)), pa.array(n)], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(as_signed(u)), pa.array(np.full(len(u), row["chunk"], np.int64)), pa.array(n)], ["gram", "chunk", "n"])
 
 
 # -- the mixing model
@@ -181,10 +181,10 @@ class Tree:
 
 
 def slots(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot of each order for decisions at `node` after the key's context."""
-    out = np.empty((len(key), ORDERS), np.int64)
+    """The slot of each low order for decisions at `node` after the key's context."""
+    out = np.empty((len(key), LOW), np.int64)
     context = key >> U64(9)
-    for k in range(ORDERS):
+    for k in range(LOW):
         seen = context & U64((1 << (8 * k)) - 1)
         h = mix((seen * U64(512) + node.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(k)) >> U64(64 - SLOT_BITS[k])
         out[:, k] = h.astype(np.int64) + SLOT_START[k]
@@ -201,20 +201,49 @@ def decisions(tree: Tree, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _slot_counts(tree):
+    """(cell, n) of the low orders: a cell is a slot and a bit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * SLOT_START[-1], np.int64)
         for batch in batches:
             key, n = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            ids, counts = [], []
             for at, node, bit in decisions(tree, key):
-                ids.append((slots(key[at], node) * 2 + bit[:, None]).ravel())
-                counts.append(np.repeat(n[at], ORDERS))
-            u, at = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), minlength=len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total)], ["cell", "n"])
+                cell = (slots(key[at], node) * 2 + bit[:, None]).ravel()
+                total += np.bincount(cell, np.repeat(n[at], LOW), minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
     return run
 
 
+@dataclass
+class Decisions:
+    """All decisions of a shard's grams, gram by gram, with the zeros and ones that the training text has there by order."""
+
+    at: np.ndarray  # place of the gram
+    bit: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+
+    @staticmethod
+    def of(tree: Tree, key: np.ndarray, n: np.ndarray, low: np.ndarray) -> Decisions:
+        """low: zeros and ones by slot; those of longer contexts are added up here, as the shard has all grams of its contexts."""
+        parts = []
+        for at, node, bit in decisions(tree, key):
+            zeros, ones = np.empty((len(at), ORDERS)), np.empty((len(at), ORDERS))
+            where = slots(key[at], node)
+            zeros[:, :LOW], ones[:, :LOW] = low[0::2][where], low[1::2][where]
+            for k in range(LOW, ORDERS):
+                context = key[at] >> U64(9) & U64((1 << (8 * k)) - 1)
+                u, same = np.unique(context * U64(512) + node.astype(U64), return_inverse=True)
+                for bits, counts in ((0, zeros), (1, ones)):
+                    counts[:, k] = np.bincount(same, n[at] * (bit == bits), minlength=len(u))[same]
+            parts.append((at, bit, zeros, ones))
+        at, bit, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(at, kind="stable")
+        return Decisions(at[order], bit[order], zeros[order], ones[order])
+
+
 def stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + 0.4) / (zeros + 0.4))
 
@@ -231,12 +260,8 @@ def gate(n3: np.ndarray, n4: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    tree: Tree
-    logits: np.ndarray  # by slot
-    seen: np.ndarray  # by slot
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (GATES, 1)))
     map: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-8, 8, CELLS), (256, 1)))
-    delimiters: np.ndarray = field(default_factory=lambda: np.zeros(END + 1))  # log10 share of each symbol that ends words
 
     def refine(self, x: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The map's logit, between two cells, and where it lies."""
@@ -245,17 +270,17 @@ class Mixer:
         part = place - cell
         return self.map[last, cell] * (1 - part) + self.map[last, cell + 1] * part, cell, part
 
-    def learn(self, key: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, key: np.ndarray, n: np.ndarray, d: Decisions, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Online over grams in their order, each for its n occurrences; each from counts without itself.
 
         A step is the gradient by the curvature so far (of a gate's weights a matrix, of the map by cell), which is returned.
         """
         bend, firm = np.tile(np.eye(ORDERS + 1) * PRIOR, (GATES, 1, 1)), np.full(self.map.shape, PRIOR)
         last, n = ((key >> U64(9)) & U64(255)).astype(np.int64), n.astype(np.float64)
-        for lo in range(0, len(key), block):
-            rows = [(at + lo, bit, slots(key[lo + at], node)) for at, node, bit in decisions(self.tree, key[lo : lo + block])]
-            at, bit, where = (np.concatenate(r) for r in zip(*rows, strict=True))
-            z, o = np.maximum(zeros[where] - (1 - bit[:, None]), 0), np.maximum(ones[where] - bit[:, None], 0)
+        bounds = np.searchsorted(d.at, np.append(np.arange(0, len(key), block), len(key)))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            at, bit = d.at[lo:hi], d.bit[lo:hi]
+            z, o = np.maximum(d.zeros[lo:hi] - (1 - bit[:, None]), 0), np.maximum(d.ones[lo:hi] - bit[:, None], 0)
             x = np.column_stack([stretch(z, o), np.ones(len(at))])
             g = gate((z + o)[:, 3], (z + o)[:, 4])
             logit = (x * self.weights[g]).sum(1)
@@ -278,76 +303,42 @@ class Mixer:
             self.map += step / firm
         return bend, firm
 
-    def cost(self, key: np.ndarray) -> np.ndarray:
+    def cost(self, key: np.ndarray, d: Decisions) -> np.ndarray:
         """log10 probability of each key's symbol after its context."""
-        out = np.zeros(len(key))
-        last = ((key >> U64(9)) & U64(255)).astype(np.int64)
-        for at, node, bit in decisions(self.tree, key):
-            where = slots(key[at], node)
-            g = gate(self.seen[where[:, 3]], self.seen[where[:, 4]])
-            w = self.weights[g]
-            logit = (self.logits[where] * w[:, :ORDERS]).sum(1) + w[:, ORDERS]
-            fine, _, _ = self.refine(logit, last[at])
-            p = np.clip((squash(logit) + squash(fine)) / 2, 1e-6, 1 - 1e-6)
-            out[at] += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
-
-
-class Costs:
-    """Costs of grams, remembered in a table of fixed size; a gram that is not in it is computed."""
-
-    def __init__(self, mixer: Mixer, bits: int = 20):
-        self.mixer, self.bits = mixer, bits
-        self.keys, self.values = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, U64), np.zeros(1 << bits)
-
-    def of(self, key: np.ndarray) -> np.ndarray:
-        at = ((key * U64(0xD6E8FEB86659FD93)) >> U64(64 - self.bits)).astype(np.int64)
-        out = self.values[at]
-        new = np.flatnonzero(self.keys[at] != key)
-        if len(new):
-            u, back = np.unique(key[new], return_inverse=True)
-            cost = np.concatenate([self.mixer.cost(u[s : s + 200_000]) for s in range(0, len(u), 200_000)])
-            out[new] = cost[back]
-            at = ((u * U64(0xD6E8FEB86659FD93)) >> U64(64 - self.bits)).astype(np.int64)
-            self.keys[at], self.values[at] = u, cost
-            self.values[at] = cost
-            self.keys[at] = u
-        return out
+        x = stretch(d.zeros, d.ones)
+        seen = d.zeros + d.ones
+        w = self.weights[gate(seen[:, 3], seen[:, 4])]
+        logit = (x * w[:, :ORDERS]).sum(1) + w[:, ORDERS]
+        fine, _, _ = self.refine(logit, ((key >> U64(9)) & U64(255)).astype(np.int64)[d.at])
+        p = np.clip((squash(logit) + squash(fine)) / 2, 1e-6, 1 - 1e-6)
+        return np.bincount(d.at, np.log10(np.where(d.bit == 1, p, 1 - p)), minlength=len(key))
 
 
-_costs: dict = {}
+def _score(total: int, distinct: int, learned_docs: int):
+    floor = np.log10(total + 1.0 * (distinct + 1))
 
+    def run(key, answers: pa.Table, chunks: pa.Table) -> pa.Table:
+        asked, value, is_gram = answers["key"].to_numpy().view(U64), answers["value"].to_numpy(), answers["is_gram"].to_numpy()
 
-def _score(model, total: int, distinct: int, learned_docs: int):
-    floor = np.log10(total + 1.0 * (distinct + 1))
+        def lookup(mine: np.ndarray):
+            order = np.argsort(asked[mine])
+            keys, values = asked[mine][order], value[mine][order]
+            return lambda x: values[np.searchsorted(keys, x)] if len(x) else np.zeros(0)
 
-    def run(key, counts: pa.Table, chunks: pa.Table) -> pa.Table:
-        if _costs.get("of") is not model.value:
-            _costs.update({"of": model.value, "costs": Costs(loaded(model.value))})
-        costs: Costs = _costs["costs"]
-        word, c = counts["word"].to_numpy().view(U64), counts["c"].to_numpy()
-        order = np.argsort(word)
-        word, c = word[order], c[order]
+        count_of, cost_of = lookup(~is_gram), lookup(is_gram)
         out = []
         for row in chunks.to_pylist():
             ids, named, flags, data, offs = _unpack(row)
             base, score = np.full(len(ids), np.log10(learned_docs + 1.0)), np.zeros(len(ids))
             known, tokens = np.full(len(ids), int(learned_docs > 0)), np.ones(len(ids), np.int64)
-            for lo, hi, h, first, begin, end in _word_slices(data, offs):
-                n = c[np.searchsorted(word, h)] if len(h) else np.zeros(0, np.int64)
+            for lo, hi, h, first, _, _ in _word_slices(data, offs):
+                n = count_of(h)
                 of = np.repeat(np.arange(hi - lo), np.diff(first))
                 base[lo:hi] += np.bincount(of, np.log10(n + 1.0), minlength=hi - lo)
                 known[lo:hi] += np.bincount(of[n > 0], minlength=hi - lo)
                 tokens[lo:hi] += np.diff(first)
                 gram, at = grams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                cost = costs.of(gram)
-                score[lo:hi] = np.add.reduceat(cost, at[:-1])
-                begin, end = begin + of, end + of  # a row's symbols have one end more than its bytes
-                so_far = np.concatenate([[0.0], np.cumsum(cost)])
-                spelled = so_far[end + 1] - so_far[begin]
-                share = np.log10(np.maximum(n, 0.1) / max(total - learned_docs, 1)) + costs.mixer.delimiters[(gram[end] & U64(511)).astype(np.int64)]
-                known_word = np.where(n > 0, np.logaddexp(LN10 * (spelled + np.log10(1 - WORD_WEIGHT)), LN10 * (share + np.log10(WORD_WEIGHT))) / LN10, spelled + np.log10(1 - WORD_WEIGHT))
-                score[lo:hi] += np.bincount(of, known_word - spelled, minlength=hi - lo)
+                score[lo:hi] = np.add.reduceat(cost_of(gram), at[:-1])
             out.append(pa.table({
                 "doc_id": pa.array(ids, mask=named == 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base - tokens * floor), "score": pa.array(score),
@@ -361,41 +352,6 @@ def _score(model, total: int, distinct: int, learned_docs: int):
 RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's cells and their numbers as one row."""
-    held = list(batches)
-    cell = np.concatenate([np.zeros(0, np.int32), *[b.column(0).to_numpy().astype(np.int32) for b in held]])
-    n = np.concatenate([np.zeros(0, np.float32), *[b.column(1).to_numpy().astype(np.float32) for b in held]])
-    yield pa.RecordBatch.from_arrays([pa.array([cell.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cells", "ns"])
-
-
-def _squeezed(x: object) -> bytes:
-    raw = pickle.dumps(x, 5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _restored(x: bytes):
-    return pickle.loads(pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True))
-
-
-def counted_slots(packed: Iterator[tuple[bytes, bytes]]) -> bytes:
-    """Zeros and ones by slot, from packed counts."""
-    both = np.zeros(2 * SLOT_START[-1], np.float32)
-    for cells, n in packed:
-        both[np.frombuffer(cells, np.int32)] = np.frombuffer(n, np.float32)
-    return _squeezed(both)
-
-
-def loaded(model: bytes) -> Mixer:
-    tree, delimiters, counts, learned = pickle.loads(model)
-    both = _restored(counts)
-    zeros, ones = both[0::2], both[1::2]
-    mixer = Mixer(tree, stretch(zeros, ones).astype(np.float32), np.minimum(zeros + ones, 2000).astype(np.uint16), delimiters=delimiters)  # gates tell apart fewer
-    if learned:
-        mixer.weights, mixer.map = learned
-    return mixer
-
-
 def _shard_of_grams(table: pa.Table) -> pa.Table:
     """A shard's grams in the order of a hash, and their numbers, as one row."""
     key, n = table["gram"].to_numpy().view(U64), table["n"].to_numpy()
@@ -403,9 +359,9 @@ def _shard_of_grams(table: pa.Table) -> pa.Table:
     return pa.table({"grams": pa.array([key[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary())})
 
 
-def passed(mixer: Mixer, key: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def passed(mixer: Mixer, key: np.ndarray, n: np.ndarray, d: Decisions) -> np.ndarray:
     """Sums of one shard's pass: by gate the curvature and its product with the weights, by map cell the same."""
-    bend, firm = mixer.learn(key, n, zeros, ones)
+    bend, firm = mixer.learn(key, n, d)
     return np.concatenate([bend.ravel(), np.einsum("gij,gj->gi", bend, mixer.weights).ravel(), firm.ravel(), (firm * mixer.map).ravel()])
 
 
@@ -416,15 +372,19 @@ def added(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.linalg.solve(bend.reshape(GATES, w, w), aim.reshape(GATES, w, 1))[:, :, 0], (level / firm).reshape(256, CELLS)
 
 
-def _round(counts, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
+def _shards(batches: Iterator[pa.RecordBatch], tree: Tree, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Decisions]]:
+    for row in _each(batches):
+        key, n = np.frombuffer(row["grams"], U64), np.frombuffer(row["ns"], np.int64)
+        yield key, n, Decisions.of(tree, key, n, low)
+
+
+def _round(low, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, total = None, None
-        for row in _each(batches):
-            both = _restored(counts.value) if both is None else both
-            mixer = Mixer(tree, np.zeros(0, np.float32), np.zeros(0, np.uint16))
-            if learned:
-                mixer.weights, mixer.map = learned[0].copy(), learned[1].copy()
-            sums = passed(mixer, np.frombuffer(row["grams"], U64), np.frombuffer(row["ns"], np.int64), both[0::2], both[1::2])
+        total = None
+        for key, n, d in _shards(batches, tree, low.value):
+            mixer = Mixer(learned[0].copy(), learned[1].copy()) if learned else Mixer()
+            taught = n > 0  # other grams are only asked for
+            sums = passed(mixer, key[taught], n[taught], _some(d, taught))
             total = sums if total is None else total + sums
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "v"])
@@ -432,37 +392,43 @@ def _round(counts, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
     return run
 
 
-def train(grams_table: DataFrame) -> bytes:
-    """The model of all counted grams, for `loaded`; weights and map are learned on all of them in ROUNDS rounds.
+def _some(d: Decisions, wanted: np.ndarray) -> Decisions:
+    rows = wanted[d.at]
+    return Decisions((np.cumsum(wanted) - 1)[d.at[rows]], d.bit[rows], d.zeros[rows], d.ones[rows])
+
+
+def _costs(low, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(*learned) if learned else Mixer()
+        for key, _, d in _shards(batches, tree, low.value):
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(mixer.cost(key, d))], ["gram", "cost"])
+
+    return run
+
+
+def gram_costs(grams_table: DataFrame) -> DataFrame:
+    """(gram, cost) of all grams of a table of (gram, n), with n their number in the training text or 0.
 
-    The driver gets sums of a fixed size and, compressed, the slot counts.
+    Weights and map are learned on all of them in ROUNDS rounds; the driver gets sums of fixed sizes only.
     """
-    before, symbol = F.shiftright("gram", 9).bitwiseAND(255), F.col("gram").bitwiseAND(511)
-    symbols = grams_table.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.sum(F.when(~before.isin(*SPACES, 0), F.col("n")).otherwise(0)).alias("after")).collect()
-    counts, after = np.zeros(END + 1, np.int64), np.zeros(END + 1)
+    symbol = F.col("gram").bitwiseAND(511)
+    symbols = grams_table.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+    counts = np.zeros(END + 1, np.int64)
     for r in symbols:
-        counts[r.s], after[r.s] = r.n, r.after
-    ends = np.zeros(END + 1)
-    ends[[*SPACES, END]] = after[[*SPACES, END]] + 1
-    tree, delimiters = Tree.of(counts), np.log10(np.maximum(ends, 1e-9) / ends.sum())
-    if not symbols:
-        return pickle.dumps((tree, delimiters, counted_slots(iter(())), None), 5)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = ((r["cells"], r["ns"]) for batch in batches for r in batch.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([counted_slots(packed)], pa.binary())], ["counts"])
-
-    cells = grams_table.mapInArrow(_slot_counts(tree), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    slot_counts = bytes(cells.mapInArrow(_pack, "cells binary, ns binary").repartition(1).mapInArrow(gathered, "counts binary").collect()[0].counts)
-    shards = -(-sum(r.distinct for r in symbols) // SHARD_GRAMS)
-    dealt = cut(grams_table.groupBy(F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")).applyInArrow(_shard_of_grams, "grams binary, ns binary"))
-    sent, learned = grams_table.sparkSession.sparkContext.broadcast(slot_counts), None
-    for _ in range(ROUNDS):
+        counts[r.s] = r.n
+    tree, low = Tree.of(counts), np.zeros(2 * SLOT_START[-1], np.float32)
+    cells = grams_table.filter("n > 0").mapInArrow(_slot_counts(tree), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    low[cells.cell.to_numpy()] = cells.n.to_numpy()
+    sent, learned = grams_table.sparkSession.sparkContext.broadcast(low), None
+    shards = max(1, -(-sum(r.distinct for r in symbols) // SHARD_GRAMS))
+    context = F.shiftright("gram", 9).bitwiseAND((1 << (8 * LOW)) - 1)  # a shard has all grams of its contexts of LOW bytes and more
+    dealt = cut(grams_table.groupBy(F.pmod(F.xxhash64(context), F.lit(shards)).alias("shard")).applyInArrow(_shard_of_grams, "grams binary, ns binary"))
+    for _ in range(ROUNDS if counts.any() else 0):
         sums = np.zeros(GATES * (ORDERS + 1) * (ORDERS + 2) + 512 * CELLS)
         for r in dealt.mapInArrow(_round(sent, tree, learned), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
             sums[r.cell] = r.v
         learned = added(sums)
-    return pickle.dumps((tree, delimiters, slot_counts, learned), 5)
+    return dealt.mapInArrow(_costs(sent, tree, learned), "gram long, cost double")
 
 
 def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -470,8 +436,9 @@ def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc
 
     Tokens are non-space words of the lower-cased text and one end. base_score sums log10((c+1)/(N+V+1)) over them, with c a
     token's count, N all tokens and V the distinct ones of the rows where `learned` is true. score is the mixing model's log10
-    probability of the text. Null texts count as empty: one token, the end. Null flags are false; ids may be null or repeat.
-    An empty table gives no rows; without a learned row every decision is even.
+    probability of the text. Null texts count as empty: one token, the end. Null flags are false; ids may be null or repeat,
+    and are long or cast to it (an id that is no number fails as any cast does). Texts of any length are scored whole; other
+    columns are ignored. An empty table gives no rows; without a learned row every decision is even.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), learned.alias("learned"), F.col(text_col).alias("text"))
     chunks = cut(rows.mapInArrow(_chunk, "chunk long, ids binary, named binary, flags binary, sizes binary, bytes long, texts binary"))
@@ -479,9 +446,10 @@ def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc
     counts = cut(asked.groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     learned_docs = rows.filter("learned").count()
-    counted = cut(chunks.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    model = docs.sparkSession.sparkContext.broadcast(train(counted))
-    answered = asked.join(loose(counts, "word"), "word").select("chunk", "word", "c")
-    run = _score(model, int(total + learned_docs), int(distinct + (learned_docs > 0)), int(learned_docs))
+    asked_grams = chunks.mapInArrow(_gram_counts, "gram long, chunk long, n long")
+    costs = cut(gram_costs(cut(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")))))
+    words_answered = asked.join(loose(counts, "word"), "word").select("chunk", F.lit(False).alias("is_gram"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    grams_answered = asked_grams.join(loose(costs, "gram"), "gram").select("chunk", F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.col("cost").alias("value"))
+    run = _score(int(total + learned_docs), int(distinct + (learned_docs > 0)), int(learned_docs))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return answered.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(run, schema)
+    return words_answered.union(grams_answered).groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(run, schema)
