@@ -64,3 +64,31 @@ def centred_window(mid: Column, days: Column, season: Column) -> tuple[Column, C
     end_1 = F.when(early > 0, F.least(y1, F.date_add(end, early))).otherwise(end)
     start_1 = F.greatest(start, y0)
     return F.when(late > 0, F.greatest(y0, F.date_sub(start_1, late))).otherwise(start_1), F.least(end_1, y1)
+
+
+def period(text: Column, year: Column) -> tuple[Column, Column]:
+    """First and last day of a `start/end` text; of the whole year where the text is null or has no two days."""
+    parts = F.split(text, "/")
+    first, last = (F.get(parts, F.lit(k)).try_cast("date") for k in range(2))
+    good = first.isNotNull() & last.isNotNull()
+    return F.when(good, first).otherwise(F.make_date(year, F.lit(1), F.lit(1))), F.when(good, last).otherwise(F.make_date(year, F.lit(12), F.lit(31)))
+
+
+def season_of_path(path: Column, default: Column) -> Column:
+    """The first part of a path that is four digits, else the default."""
+    return F.coalesce(F.get(F.filter(F.split(path, "/"), lambda p: p.rlike(r"^\d{4}$")), F.lit(0)).cast("int"), default.cast("int"))
+
+
+def index_name(name: Column) -> Column:
+    """The name of the index raster of a prepared or composite one; other rasters change their suffix only, other files nothing."""
+    stem = F.regexp_extract(name, r"^(.*)\.tif$", 1)
+    token = F.split(stem, "_")
+    fine = (F.size(token) >= 3) & F.startswith(stem, F.lit("S2"))
+    day = F.when(fine, F.get(token, F.lit(2))).otherwise(F.coalesce(F.get(token, F.lit(1)), F.get(token, F.lit(0))))
+    made = F.when(F.contains(stem, F.lit("REFL")), F.concat(day, F.lit("_ndvi.geotiff"))).otherwise(F.concat(stem, F.lit(".geotiff")))
+    return F.when(name.endswith(".tif"), made).otherwise(name)
+
+
+def withheld_day(entry_day: Column, filename: Column) -> Column:
+    """The ISO day of a withheld acquisition: as stated, else of its name."""
+    return F.coalesce(F.date_format(entry_day, "yyyy-MM-dd"), F.date_format(filename_date(filename), "yyyy-MM-dd"))

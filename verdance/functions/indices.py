@@ -89,3 +89,21 @@ def truth_value(primary: Column, fallback: Column, outlier: Column) -> Column:
     value = F.trim(chosen).try_cast("double")
     flagged = F.coalesce(F.trim(outlier).try_cast("double") == 1.0, F.lit(False))
     return F.when(~flagged & finite(value) & (value > -9998), value)
+
+
+def enough_bands(bands: Column, least: int = 4) -> Column:
+    """Whether an array of bands holds `least` known ones; a null array does not."""
+    return F.coalesce(F.size(F.filter(bands, lambda b: b.isNotNull())) >= least, F.lit(False))
+
+
+def gcc_of_bands(bands: Column) -> Column:
+    """Greenness of a raster pixel's bands: by the index of blue, green and red where there are four, the first band where there are fewer."""
+    b, g, r = (F.get(bands, F.lit(k)) for k in range(3))
+    return F.when(F.size(bands) >= 4, gcc_strict(b, g, r)).otherwise(clean(F.get(bands, F.lit(0))))
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML: the five characters of markup as references."""
+    for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(plain), F.lit(reference))
+    return text

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import centred_window
-from . import metrics, series
+from . import metrics, series, smoothing
 from .phenology import midpoint
 
 GAP_DAYS = (15, 30, 60, 90)
@@ -41,10 +41,25 @@ def evaluate(pixels: DataFrame, keys: list[str]) -> DataFrame:
     pixels(keys, row, col, truth, gap, nogap).
     """
     rows = pixels.filter("truth is not null and gap is not null and nogap is not null")
-    with_gap, without = metrics.spatial_scores(rows, keys, "gap"), metrics.spatial_scores(rows, keys, "nogap")
-    flat = rows.join(rows.groupBy(*keys).agg(F.avg("nogap").alias("constant")), keys)
-    constant = metrics.spatial_scores(flat, keys, "constant").select(*keys, F.col("rmse").alias("rmse_constant"))
-    return metrics.gap_deltas(with_gap, without, keys).join(constant, keys)
+    t, g, n = F.col("truth"), F.col("gap"), F.col("nogap")
+    enough = F.count("*") >= metrics.LEAST_PAIRS
+    scores = {"rmse": metrics.rmse(g, t), "mae": metrics.mae(g, t), "mean_bias": F.avg(g - t), "pearson_r": metrics.pearson(g, t), "nse": metrics.efficiency(g, t), "rmse_nogap": metrics.rmse(n, t), "nse_nogap": metrics.efficiency(n, t)}
+    # the error of a constant c is the variance of truth and its mean's distance to c
+    scores["rmse_constant"] = F.sqrt(F.var_pop(t) + F.pow(F.avg(t) - F.avg(n), 2))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_pixels"), *[F.when(enough, c).alias(name) for name, c in scores.items()])
+    return out.withColumn("delta_rmse", F.col("rmse") - F.col("rmse_nogap")).withColumn("delta_nse", F.col("nse_nogap") - F.col("nse"))
+
+
+def baseline_without(rows: DataFrame, entries: DataFrame, keys: list[str], lam: float = smoothing.LAMBDA) -> DataFrame:
+    """Per entry the smoothed series at its prediction day, the series without the withheld day; null outside it or with too few days.
+
+    rows(keys, date, value, pos); entries(keys, gap_days, withheld_date, prediction_date). An entry without a withheld day has null.
+    """
+    wanted = entries.filter("withheld_date is not null")
+    each = rows.join(wanted.select(*keys, "gap_days", "withheld_date"), keys).filter("date <> withheld_date")
+    smooth = smoothing.whittaker(each.select(*keys, "gap_days", "date", "value", "pos"), [*keys, "gap_days"], lam=lam)
+    found = smooth.withColumnRenamed("date", "prediction_date").withColumnRenamed("smoothed", "whittaker")
+    return entries.join(found, [*keys, "gap_days", "prediction_date"], "left")
 
 
 def results(entries: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:

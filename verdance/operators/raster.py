@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANDS = ("b02", "b03", "b04", "b8a")
@@ -20,11 +21,12 @@ def explode_tiles(tiles: DataFrame, keys: list[str], array: str, width: int, hei
 
 def composite(acquisitions: DataFrame, keys: list[str], bands: tuple[str, ...] = BANDS, acquisition: str = "acquisition") -> DataFrame:
     """Same-day mean of each pixel over acquisitions. With several a day, pixels whose mean over bands is 5 or more in size don't count; a single one passes as it is."""
-    many = F.size(F.collect_set(acquisition).over(Window.partitionBy(*keys))) > 1
     level = F.abs(sum((F.col(b) for b in bands[1:]), F.col(bands[0])) / len(bands))
-    rows = acquisitions.withColumn("_use", ~many | (level < OUTLIER))
     cells = keys + [c for c in ("row", "col") if c in acquisitions.columns and c not in keys]
-    return rows.groupBy(*cells).agg(*[F.avg(F.when(F.col("_use"), F.col(b))).alias(b) for b in bands])
+    scenes = acquisitions.groupBy(*keys).agg(F.min(acquisition).alias("_first"), F.max(acquisition).alias("_last"))
+    many = scenes.select(*keys, (F.col("_first") != F.col("_last")).alias("_many"))
+    means = [F.avg(F.when(level < OUTLIER, F.col(b))).alias(b) for b in bands] + [F.avg(b).alias(f"_all_{b}") for b in bands]
+    return acquisitions.groupBy(*cells).agg(*means).join(many, keys).select(*cells, *[F.when(F.col("_many"), F.col(b)).otherwise(F.col(f"_all_{b}")).alias(b) for b in bands])
 
 
 def valid(bands: tuple[str, ...] = BANDS, any_band: bool = True) -> Column:
@@ -102,15 +104,16 @@ def cloud_distance(cells: DataFrame, scene: list[str], clear: str) -> DataFrame:
 
 def rescale_distance(distances: DataFrame, scene: list[str]) -> DataFrame:
     """In a scene whose largest distance is at most 1, positive distances become 2, so that its pixels weigh something."""
-    top = F.max("distance").over(Window.partitionBy(*scene))
-    return distances.withColumn("distance", F.when((top <= 1) & (F.col("distance") > 0), 2.0).otherwise(F.col("distance")))
+    top = distances.groupBy(*scene).agg(F.max("distance").alias("_top"))
+    out = distances.join(top, scene).withColumn("distance", F.when((F.col("_top") <= 1) & (F.col("distance") > 0), 2.0).otherwise(F.col("distance")))
+    return out.select(*distances.columns)
 
 
 def stretch_range(pixels: DataFrame, scene: list[str], value: str) -> DataFrame:
     """Pixels with their scene's range of positive values."""
     good = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0), F.col(value))
-    w = Window.partitionBy(*scene)
-    return pixels.withColumn("low", F.min(good).over(w)).withColumn("high", F.max(good).over(w))
+    ranges = pixels.groupBy(*scene).agg(F.min(good).alias("low"), F.max(good).alias("high"))
+    return pixels.join(ranges, scene)
 
 
 # -- positions
@@ -141,3 +144,63 @@ def pixel_of(x: Column, y: Column, x0: Column, y0: Column, dx: Column, dy: Colum
 def bbox(lon: Column, lat: Column, size: float) -> tuple[Column, Column, Column, Column]:
     """West, south, east, north of a box of `size` degrees about a point."""
     return lon - size / 2, lat - size / 2, lon + size / 2, lat + size / 2
+
+
+def resample_to(pixels: DataFrame, scene: list[str], size: tuple[int, int], target: tuple[int, int], values: list[str], kernel: str = "bilinear") -> DataFrame:
+    """Weighted means of several values on a grid of any other size over the same extent; sizes are (height, width).
+
+    To a coarser grid the kernel is stretched to the cells of it, so that every fine pixel counts. Nulls don't count and the
+    rest are renormalised, each value by itself. A pixel sends its values to the cells in its reach: one aggregation, no join.
+    """
+    reach = {"bilinear": 1, "cubic": 2}[kernel]
+
+    def steps(at: str, n: int, m: int) -> tuple[Column, Callable[[Column], Column]]:
+        ratio, wide = m / n, max(1.0, n / m)
+        centre = (F.col(at) + 0.5) * ratio - 0.5  # in target cells
+        first, last = F.ceil(centre - reach * wide * ratio).cast("int"), F.floor(centre + reach * wide * ratio).cast("int")
+
+        def weight(cell: Column) -> Column:
+            x = F.abs((cell + 0.5) / ratio - 0.5 - F.col(at)) / wide
+            if kernel == "bilinear":
+                return F.greatest(F.lit(0.0), 1 - x)
+            near, far = 1.5 * x * x * x - 2.5 * x * x + 1, -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2
+            return F.when(x < 1, near).when(x < 2, far).otherwise(0.0)
+
+        return F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(m - 1)))), weight
+
+    (rows, row_weight), (cols, col_weight) = steps("row", size[0], target[0]), steps("col", size[1], target[1])
+    sent = pixels.select(*scene, "row", "col", *values, rows.alias("_r")).withColumn("_c", cols)
+    sent = sent.withColumn("_w", row_weight(F.col("_r")) * col_weight(F.col("_c"))).filter("_w <> 0")
+    known = lambda v: F.col(v).isNotNull() & ~F.isnan(v)
+    means = [F.try_divide(F.sum(F.when(known(v), F.col("_w") * F.col(v))), F.sum(F.when(known(v), F.col("_w")))).alias(v) for v in values]
+    return sent.groupBy(*scene, F.col("_r").alias("row"), F.col("_c").alias("col")).agg(*means)
+
+
+def in_grid(row: Column, col: Column, height: int, width: int) -> Column:
+    """Whether a position lies in the grid, borders included; a null one does not."""
+    return F.coalesce(row.between(0, height - 1) & col.between(0, width - 1), F.lit(False))
+
+
+def pixel_sample(pixels: DataFrame, scene: list[str], row: Column, col: Column, values: list[str], nodata: float = 0.0) -> DataFrame:
+    """Per scene the values of one pixel, null where they are nodata; scenes whose grid lacks the pixel have no row."""
+    at = pixels.filter((F.col("row") == row) & (F.col("col") == col))
+    return at.select(*scene, *[F.when(F.col(v).isNotNull() & ~F.isnan(v) & (F.col(v) != nodata), F.col(v)).alias(v) for v in values])
+
+
+def to_lonlat(east: Column, north: Column, zone: int = 32) -> tuple[Column, Column]:
+    """Longitude and latitude of a northern UTM position: the inverse of to_utm, by the series of Krueger to the third order."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi, eta = north / (0.9996 * big_a), (east - 500_000) / (0.9996 * big_a)
+    x, y = xi, eta
+    for k, c in enumerate(beta, 1):
+        x = x - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for k, c in enumerate(delta, 1):
+        phi = phi + c * F.sin(2 * k * chi)
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183), F.degrees(phi)

@@ -51,17 +51,26 @@ def interpolate(rows: DataFrame, keys: list[str], value: str = "value", day: str
 def nearest(targets: DataFrame, acquisitions: DataFrame, keys: list[str], target_keys: list[str], target_day: str, most_days: int, day: str = "date", name: str = "filename") -> DataFrame:
     """For each target the acquisition of the nearest day within `most_days`; the earlier of equals, then the first by name.
 
-    Days are binned to the reach and a target meets its bin and both neighbours, so the join has keys and the candidates stay few.
+    Targets and acquisitions of a key share one sort: the last acquisition up to a target and the first from it on are the only
+    candidates, however dense the series and wide the reach.
     """
-    bin_of = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / F.lit(most_days + 1))
-    t = targets.withColumn("_bin", F.explode(F.array(*[bin_of(F.col(target_day)) + k for k in (-1, 0, 1)])))
-    a = acquisitions.select(*keys, F.col(day).alias("nearest_day"), F.col(name).alias("nearest_name"), bin_of(F.col(day)).alias("_bin"))
-    distance = F.abs(F.datediff("nearest_day", F.col(target_day)))
-    met = t.join(a, [*keys, "_bin"]).withColumn("_d", distance).filter(F.col("_d") <= most_days)
-    best = F.min(F.struct("_d", "nearest_day", "nearest_name")).alias("_best")
-    return met.groupBy(*keys, *[k for k in target_keys if k not in keys], target_day).agg(best).select(
-        *keys, *[k for k in target_keys if k not in keys], target_day, "_best.nearest_day", "_best.nearest_name", F.col("_best._d").alias("distance")
-    )
+    others = [k for k in target_keys if k not in keys]
+    number = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date"))
+    t = targets.select(*keys, F.struct(*[F.col(k) for k in [*others, target_day]]).alias("_target"), number(F.col(target_day)).alias("_n")).distinct()
+    a = acquisitions.groupBy(*keys, F.col(day).alias("_day")).agg(F.min(name).alias("_name"))
+    a = a.select(*keys, F.struct(number(F.col("_day")).alias("n"), F.col("_day").alias("day"), F.col("_name").alias("name")).alias("_taken"), number(F.col("_day")).alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_n")
+    both = t.unionByName(a, allowMissingColumns=True)
+    both = both.withColumn("_p", F.last("_taken", True).over(line.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_taken", True).over(line.rangeBetween(0, Window.unboundedFollowing)))
+    near = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.n") - F.col("_n")).alias("_d"), F.col(f"{c}.day").alias("nearest_day"), F.col(f"{c}.name").alias("nearest_name"))) for c in ("_p", "_f")]
+    best = F.when(F.col("_p").isNull(), near[1]).when(F.col("_f").isNull(), near[0]).otherwise(F.least(*near))
+    found = both.filter("_target is not null").withColumn("_best", best).filter(F.col("_best._d") <= most_days)
+    return found.select(*keys, *[F.col(f"_target.{k}").alias(k) for k in [*others, target_day]], "_best.nearest_day", "_best.nearest_name", F.col("_best._d").alias("distance"))
+
+
+def day_counts(rows: DataFrame, keys: list[str], day: str = "date") -> DataFrame:
+    """Acquisitions of each day."""
+    return rows.groupBy(*keys, day).agg(F.count("*").alias("n"))
 
 
 def increments(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
