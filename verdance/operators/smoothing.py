@@ -29,17 +29,21 @@ def solve_whittaker(weights: np.ndarray, values: np.ndarray, lam: float) -> np.n
     a = weights + lam * ((i < n - 2).astype(float) + 4.0 * ((i >= 1) & (i <= n - 2)) + (i >= 2))
     e = -2.0 * lam * ((i < n - 2).astype(float) + ((i >= 1) & (i <= n - 2)))
     f = lam * (i < n - 2)
-    d, up, upper, z = np.zeros(n), np.zeros(n), np.zeros(n), weights * values
+    # plain numbers: a sweep's steps depend on each other, and lists are read faster than arrays
+    a, e, f, z = a.tolist(), e.tolist(), f.tolist(), (weights * values).tolist()
+    d, up, upper = [0.0] * n, [0.0] * n, [0.0] * n
+    d1 = e1 = f1 = z1 = d2 = f2 = z2 = 0.0
     for k in range(n):
-        d1, e1, f1, z1 = (d[k - 1], up[k - 1], upper[k - 1], z[k - 1]) if k > 0 else (0.0,) * 4
-        d2, f2, z2 = (d[k - 2], upper[k - 2], z[k - 2]) if k > 1 else (0.0,) * 3
         d[k] = a[k] - d1 * e1 * e1 - d2 * f2 * f2
         up[k], upper[k] = (e[k] - d1 * e1 * f1) / d[k], f[k] / d[k]
         z[k] -= e1 * z1 + f2 * z2
-    z /= d
-    for k in reversed(range(n)):
-        z[k] -= (up[k] * z[k + 1] if k + 1 < n else 0.0) + (upper[k] * z[k + 2] if k + 2 < n else 0.0)
-    return z
+        d2, f2, z2 = d1, f1, z1
+        d1, e1, f1, z1 = d[k], up[k], upper[k], z[k]
+    after = later = 0.0
+    for k in range(n - 1, -1, -1):
+        z[k] = z[k] / d[k] - up[k] * after - upper[k] * later
+        after, later = z[k], after
+    return np.array(z)
 
 
 def whittaker(rows: DataFrame, keys: list[str], position: str = "pos", lam: float = LAMBDA, value: str = "value", day: str = "date") -> DataFrame:
