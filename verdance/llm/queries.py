@@ -41,7 +41,7 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
-def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy that the mixture takes, range-sorted by its training position."""
     return mixing.training_order(_table(spark, sf_dir, "documents"), keep=())
 
@@ -74,7 +74,7 @@ QUERIES = {
     "op1_cross_polytope": op1_cross_polytope,
     "op4_fmindex": op4_fmindex,
     "op6_curriculum": op6_curriculum,
-    "op6_training_order": op6_training_order,
+    "training_order": training_order,
     "op10_secrets": op10_secrets,
     "op5_minhash": op5_minhash,
 }
