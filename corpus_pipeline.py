@@ -30,10 +30,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the benchmark's passages; a document that was nothing else goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    had = F.length(F.coalesce("text", F.lit(""))) > 0
-    cleaned = fmindex.remove_contamination(docs.withColumn("_had", had), benchmark)
-    left = F.length(F.coalesce("text", F.lit(""))) > 0
-    return _sized(cleaned.filter(~F.col("_had") | left), docs)
+    had = "had" + "_" * max(map(len, docs.columns), default=0)  # no column's name
+    filled = F.length(F.coalesce("text", F.lit(""))) > 0
+    cleaned = fmindex.remove_contamination(docs.withColumn(had, filled), benchmark)
+    return _sized(cleaned.filter(~F.col(had) | filled), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
