@@ -78,7 +78,8 @@ def gap_deltas(gap: DataFrame, nogap: DataFrame, keys: list[str]) -> DataFrame:
 
 def scenarios(spark) -> DataFrame:
     """The grid of strategies, sigmas and modes, with keys as reports name them."""
-    grid = spark.createDataFrame([("aggressive",), ("nonaggressive",)], "strategy string").crossJoin(spark.createDataFrame([(20,), (30,)], "sigma int")).crossJoin(spark.createDataFrame([("bti",), ("itb",)], "mode string"))
+    each = lambda name, *values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    grid = spark.range(1).select(each("strategy", "aggressive", "nonaggressive")).select("*", each("sigma", 20, 30)).select("*", each("mode", "bti", "itb"))
     return grid.withColumn("scenario", scenario_key(F.col("strategy"), F.col("sigma"), F.col("mode")))
 
 

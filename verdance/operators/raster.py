@@ -204,3 +204,14 @@ def to_lonlat(east: Column, north: Column, zone: int = 32) -> tuple[Column, Colu
     for k, c in enumerate(delta, 1):
         phi = phi + c * F.sin(2 * k * chi)
     return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183), F.degrees(phi)
+
+
+def envelope_window(corners: list[tuple[Column, Column]], west: Column, south: Column, east: Column, north: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column, Column]:
+    """(row, col, height, width) in pixels, with fractions, of the box about the corners within a raster's bounds.
+
+    Corners are in the raster's own coordinates. Height or width is 0 or less where the box lies outside.
+    """
+    xs, ys = [x for x, _ in corners], [y for _, y in corners]
+    left, right = F.greatest(F.least(*xs), west), F.least(F.greatest(*xs), east)
+    low, high = F.greatest(F.least(*ys), south), F.least(F.greatest(*ys), north)
+    return (north - high) / dy, (left - west) / dx, (high - low) / dy, (right - left) / dx

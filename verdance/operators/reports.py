@@ -28,3 +28,19 @@ def baseline_order(rows: DataFrame, column: str = "baseline") -> DataFrame:
 def phenology_table(sites: DataFrame, phenology: DataFrame) -> DataFrame:
     """All site-seasons, with their dates where known."""
     return sites.join(phenology, ["site", "season"], "left")
+
+
+def plotted(rows: DataFrame, keys: list[str], value: str, current: Column, width: float, height: float, pad: float = 30.0, day: str = "date") -> DataFrame:
+    """Points of a series in the plot's coordinates, the ranges shown at its axis, and the point nearest the current day marked.
+
+    x grows with the day, y falls with the value; a range without extent counts as 1. Days without a value have no point; of two
+    days as near, the earlier is marked.
+    """
+    points = rows.filter(F.col(value).isNotNull())
+    away = F.abs(F.datediff(F.col(day), current))
+    ranges = points.groupBy(*keys).agg(F.min(day).alias("_d0"), F.max(day).alias("_d1"), F.min(value).alias("low"), F.max(value).alias("high"), F.min_by(day, F.struct(away, F.col(day))).alias("_near"))
+    days, span = F.datediff("_d1", "_d0"), F.col("high") - F.col("low")
+    x = pad + F.datediff(day, "_d0") / F.when(days == 0, 1).otherwise(days) * (width - 2 * pad)
+    y = height - pad - (F.col(value) - F.col("low")) / F.when(span == 0, 1.0).otherwise(span) * (height - 2 * pad)
+    marked = F.col(day) == F.col("_near")
+    return points.join(ranges, keys).select(*keys, day, value, x.alias("x"), y.alias("y"), "low", "high", marked.alias("marked"))

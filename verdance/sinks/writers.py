@@ -29,6 +29,25 @@ def nested(rows: DataFrame, keys: list[str], name: Column, value: Column, column
     return rows.groupBy(*keys).agg(F.to_json(entries).alias(column))
 
 
+def ordered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a key together and in order, for sinks that write a file per key; a key's rows are one series, never pixels."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def manifest(entries: DataFrame, path: str) -> None:
+    """One document per site and season: its gap entries by length, and by prediction day where lengths repeat."""
+    fields = [c for c in entries.columns if c not in ("site", "season")]
+    listed = F.sort_array(F.collect_list(F.struct("gap_days", "prediction_date", F.struct(*fields).alias("_e"))))
+    documents = entries.groupBy("site", "season").agg(listed.alias("_l")).select("site", "season", F.transform("_l", lambda x: x["_e"]).alias("entries"))
+    documents.write.mode("overwrite").json(path)
+
+
+def product_path(product: Column, strategy: Column, mode: Column, sigma: Column) -> Column:
+    """The folder of a product: its strategy, the index-first mode, and any width of the kernel but the usual 20."""
+    wide = F.when(sigma != 20, F.concat(F.lit("_sigma"), sigma.cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.lit("prepared_"), strategy, F.when(mode == "itb", F.lit("_itb")).otherwise(F.lit("")), F.lit("/"), product, wide)
+
+
 def tiles(rows: DataFrame, path: str) -> None:
     """Raster tiles with their header and tags, by site and season."""
     rows.write.mode("overwrite").partitionBy("site", "season").option("compression", "zstd").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ SERIES = "date string, filename string, ndvi double, greenness_index double, b02
 SITES = (
     "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<sitename:string,description:string,country:string,elevation:int,vegetation_type:string,ndvi_selected:boolean,seasons:map<string,struct<note:string>>>>>"
 )
+ENTRY = "struct<gap_days:int,midpoint_rule:string,midpoint_date:date,window_start:date,window_end:date,prediction_date:date,withheld_date:date,withheld_filename:string>"
 SUMMARY = "date string, year int, doy int, gcc_mean string, gcc_90 string, outlierflag_gcc_90 string"
 
 
@@ -77,6 +80,100 @@ def band_names(columns: list[str]) -> list[str]:
     return sorted(c for c in columns if re.fullmatch(r"B\d+A?", c, re.I))
 
 
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A cube's variables under the names of bands; spectral variables without a name are left out, other columns stay."""
+    bands = band_names(rows.columns)
+    return rows.select(*[F.col(c) for c in rows.columns if c not in bands], *[F.col(c).alias(names[c]) for c in bands if c in names])
+
+
+def time_steps(cubes: DataFrame, keys: list[str], times: str, bands: list[str]) -> DataFrame:
+    """One row per time step of a cube: its day, the number of the step within the day, its file name and its bands.
+
+    `times` and each band are arrays over the steps, so a cube's steps keep their order without a shuffle.
+    """
+    day = lambda t: t.cast("date")
+    each = cubes.select(*keys, times, F.posexplode(F.arrays_zip(*[F.col(b) for b in [times, *bands]])).alias("step", "_s"))
+    here = day(F.col(f"_s.{times}"))
+    before = F.size(F.filter(F.slice(F.col(times), F.lit(1), F.col("step")), lambda t: day(t) == here))
+    name = F.concat(F.date_format(here, "yyyyMMdd"), F.lit("_"), before.cast("string"), F.lit(".geotiff"))
+    return each.select(*keys, "step", here.alias("date"), before.alias("increment"), name.alias("filename"), *[F.col(f"_s.{b}").alias(b) for b in bands])
+
+
+def whole_scenes(rows: DataFrame, scene: list[str], band: str, wanted: list) -> DataFrame:
+    """Rows of the scenes that have all wanted bands; scenes that lack one are passed over."""
+    full = rows.filter(F.col(band).isin(wanted)).groupBy(*scene).agg(F.count_distinct(band).alias("_n")).filter(F.col("_n") == len(wanted))
+    return rows.join(full.select(*scene), scene, "left_semi")
+
+
+def scan_bounds(items: DataFrame, keys: list[str], position: str, day: str, first: Column, last: Column, safety: int = 100) -> DataFrame:
+    """Where a scan of an ordered listing begins and stops per key: some rows before the first day wanted, and at the first later one.
+
+    `stop` is null where no item is later than `last`; positions begin at 0. Where no item reaches `first` the scan begins at the end.
+    """
+    at = F.coalesce(F.min(F.when(F.col(day) >= first, F.col(position))), F.max(position))
+    return items.groupBy(*keys).agg(F.greatest(F.lit(0), at - safety).alias("start"), F.min(F.when(F.col(day) > last, F.col(position))).alias("stop"))
+
+
+def listing_window(items: DataFrame, keys: list[str], position: str, day: str, first: Column, last: Column, safety: int = 100) -> DataFrame:
+    """Items of a listing with days within bounds, up to the first later one: what follows that in the listing is not read."""
+    bounds = scan_bounds(items, keys, position, day, first, last, safety)
+    read = (F.col(position) >= F.col("start")) & (F.col("stop").isNull() | (F.col(position) < F.col("stop")))
+    return items.join(bounds, keys).filter(read & F.col(day).between(first, last)).drop("start", "stop")
+
+
+def first_items(items: DataFrame, position: str, most: int = 1000) -> DataFrame:
+    """The first items in catalogue order; the bound is the catalogue's own."""
+    return items.orderBy(position).limit(most)
+
+
+def first_region(regions: DataFrame, site: str = "site", position: str = "position", value: str = "summary") -> DataFrame:
+    """Per site the summary of its first region in listing order; an empty one counts as none."""
+    return regions.groupBy(site).agg(F.min_by(F.struct(F.nullif(value, F.lit("")).alias(value)), position).alias("_r")).select(site, f"_r.{value}").filter(F.col(value).isNotNull())
+
+
+def three_years(truth: DataFrame, season: Column, day: str = "date") -> DataFrame:
+    """One scan for the season's year and the years about it."""
+    return truth.filter(F.year(day).between(season - 1, season + 1))
+
+
+def site_seasons_of_paths(paths: DataFrame, tail: str, name: str = "path") -> DataFrame:
+    """Distinct (site, season) of files `<site>/<season>/<tail>`; a season is digits only."""
+    form = r"([^/]+)/(\d+)/\Q" + tail + r"\E$"
+    found = paths.filter(F.col(name).rlike("(^|/)" + form))
+    part = lambda k: F.regexp_extract(name, form, k)
+    return found.select(part(1).alias("site"), part(2).cast("int").alias("season")).distinct()
+
+
+def site_seasons_below(spark: SparkSession, root: str, tail: str) -> DataFrame:
+    """site_seasons_of_paths over the files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", tail.rsplit("/", 1)[-1]).load(root)
+    return site_seasons_of_paths(files.select("path"), tail)
+
+
+def cached_or(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at a path if it is there and holds rows, else what `make` gives, written there first."""
+    try:
+        rows = spark.read.parquet(path)
+        if not rows.isEmpty():
+            return rows
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of gap manifests, one row each; FileNotFoundError if there is no manifest."""
+    try:
+        documents = spark.read.schema(f"site string, season int, entries array<{ENTRY}>").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no manifest at {path}") from e
+    return documents.select("site", "season", F.explode("entries").alias("_e")).select("site", "season", "_e.*")
+
+
 def unseen(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """What an incremental run still has to read."""
     return wanted.join(present.select(*keys).distinct(), keys, "left_anti")
