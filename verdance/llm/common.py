@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -29,17 +29,20 @@ _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df into the cluster's shared folder, so that a lost executor costs no more than this step.
-
-    Only a local session may do without `spark.checkpoint.dir`: it gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster shares; only a local session may do without `spark.checkpoint.dir`: it gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="verdance-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint df into the cluster's shared folder, so that a lost executor costs no more than this step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fmindex, html, langid, lm, minhash, mixing, quality, secrets, tokens
+from . import embeddings, fmindex, html, langid, lines, lm, merkle, minhash, mixing, quality, secrets, tokens, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, findings)
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.report(_table(spark, sf_dir, "documents"), {"text": tampered})
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op3_host_suffix_array": op3_host_suffix_array,
     "op8_context_mixing": op8_context_mixing,
@@ -77,6 +91,9 @@ QUERIES = {
     "training_order": training_order,
     "op10_secrets": op10_secrets,
     "op5_minhash": op5_minhash,
+    "op11_line_runs": op11_line_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_jacobi_whitening": op13_jacobi_whitening,
 }
 
 _SPANS = """
@@ -94,7 +111,40 @@ _KINDS = [
     ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "length(matches[i]) >= 20"),
 ]
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+# crc32 from its reflected polynomial, bit by bit over the id's digits
+_CRC32 = "xor(list_reduce([4294967295::BIGINT] || [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')], lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_UP = "SELECT g, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM {0} WHERE n > 1 GROUP BY g, level, n, idx // 3"
+_RUNS = "SELECT g, level, idx // 3 AS p, list(digest ORDER BY idx) AS d FROM {0} WHERE n > 1 GROUP BY 1, 2, 3"
+_STEP = """SELECT w.id, w.rank, w.leaf, w.level + 1, w.idx // 3, w.proof || array_to_string(r.d[1:w.idx % 3], '') || array_to_string(r.d[w.idx % 3 + 2:], ''),
+    sha256(array_to_string(r.d[1:w.idx % 3], '') || w.now || array_to_string(r.d[w.idx % 3 + 2:], '')) FROM {0} w JOIN {1} r ON r.g = {2} AND r.level = w.level AND r.p = w.idx // 3"""
+
 ORACLES = {
+    "op11_line_runs": r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split)),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+flagged AS (SELECT k.doc_id, k.i, k.line, o.key IS NOT NULL AND k.doc_id <> o.last AS gone FROM keyed k LEFT JOIN often o ON o.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, source, {_LEAF('text')} AS leaf, {_LEAF(f"CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END").replace("CAST(CASE", "CAST((CASE").replace("END AS VARCHAR", "END) AS VARCHAR")} AS now FROM documents),
+ranked AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+nodes AS (SELECT rank AS g, CAST(0 AS BIGINT) AS level, idx, n, leaf AS digest FROM ranked UNION ALL {_UP.format('nodes')}),
+tops AS (SELECT g, digest AS subroot FROM nodes WHERE n = 1),
+above AS (SELECT CAST(-1 AS BIGINT) AS g, CAST(0 AS BIGINT) AS level, g AS idx, (SELECT count(*) FROM tops) AS n, subroot AS digest FROM tops UNION ALL {_UP.format('above')}),
+low AS ({_RUNS.format('nodes')}),
+high AS ({_RUNS.format('above')}),
+walk AS (SELECT doc_id AS id, rank, leaf, CAST(0 AS BIGINT) AS level, idx, '' AS proof, now FROM ranked UNION ALL {_STEP.format('walk', 'low', 'w.rank')}),
+ended AS (SELECT id, rank, leaf, proof, now FROM (SELECT *, max(level) OVER (PARTITION BY id) AS last FROM walk) WHERE level = last),
+rise AS (SELECT id, rank, leaf, CAST(0 AS BIGINT) AS level, rank AS idx, proof, now FROM ended UNION ALL {_STEP.format('rise', 'high', '-1')}),
+done AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY id) AS last FROM rise) WHERE level = last),
+crown AS (SELECT digest AS root FROM above WHERE n = 1)
+SELECT id AS doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified FROM done JOIN tops ON tops.g = done.rank, crown""",
     "op1_cross_polytope": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
