@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indices import positive, reflectance
+from ..functions.indices import gcc, gcc_rgr, ndvi, nodata_to_null, positive, reflectance
 from . import fusion, gap, metrics, raster, screening, series, smoothing
 
 STRATEGIES = tuple(screening.STRATEGIES)
@@ -106,43 +108,35 @@ def phenology_of_site_seasons(site_seasons: DataFrame, truth: DataFrame) -> Data
 def site_bands(pixels: DataFrame, scene: list[str], row: Column, col: Column) -> DataFrame:
     """Per scene of a stack the 3 x 3 sample of NDVI, greenness and bands about the site: one pass for all three series."""
     near = pixels.filter(F.col("row").between(row - 1, row + 1) & F.col("col").between(col - 1, col + 1))
-    from ..functions.indices import gcc, ndvi
-
     valid = positive(F.col("b04")) & positive(F.col("b8a"))
     means = [F.avg(F.when(valid, F.col(b))).alias(b) for b in raster.BANDS]
     return near.groupBy(*scene).agg(F.avg(ndvi(F.col("b04"), F.col("b8a"))).alias("ndvi"), F.avg(gcc(F.col("b02"), F.col("b03"), F.col("b04"))).alias("greenness_index"), *means)
 
 
-def fused_scenarios(fine: DataFrame, coarse: DataFrame, sigmas: tuple[int, ...] = (20, 30), keys: tuple[str, ...] = ("site",), bands: tuple[str, ...] = raster.BANDS) -> DataFrame:
+def fused_scenarios(fine: DataFrame, coarse: DataFrame, sigmas: tuple[int, ...] = (20, 30), keys: tuple[str, ...] = ("site",), bands: tuple[str, ...] = raster.BANDS, index: Callable[[Column, Column], Column] = gcc_rgr) -> DataFrame:
     """Fusion by every scenario in one plan: strategies, widths, and bands or the greenness index first.
 
-    fine(keys, row, col, date, bands, distance, excluded_<strategy>), coarse(keys, row, col, date, bands) on the same grid. A layer
-    is a band or the index; layers and strategies are keys of the one join with the days in reach. Bands are null with the index
-    first. Days are those of the coarse scenes.
+    fine(keys, row, col, date, bands, distance, excluded_<strategy>), coarse(keys, row, col, date, bands) on the same grid. The
+    index is a layer beside the bands and the strategies are runs, so pixels are shuffled once for all scenarios. `index` is that
+    of the index-first mode, of green and red; its nodata of 0 counts as missing. With bands first, the greenness is that of the
+    fused bands. Bands are null with the index first. Days are those of the coarse scenes.
     """
-    from ..functions.indices import gcc
-
-    index = gcc(F.col("b02"), F.col("b03"), F.col("b04"))
-    layers = F.array(*[F.struct(F.lit(b).alias("layer"), F.col(b).alias("value")) for b in bands], F.struct(F.lit("index").alias("layer"), index.alias("value")))
-    cell = [*keys, "row", "col", "date"]
-    kept = F.array_compact(F.array(*[F.when(~F.col(f"excluded_{s}"), F.lit(s)) for s in STRATEGIES]))
-    high = fine.withColumn("strategy", F.explode(kept)).withColumn("_l", F.explode(layers)).select(*cell, "strategy", "_l.*", "distance")
-    low = coarse.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in STRATEGIES]))).withColumn("_l", F.explode(layers)).select(*cell, "strategy", "_l.*")
-    days = coarse.select(*keys, "date").distinct()
-    each = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    targets = days.select("*", each("strategy", STRATEGIES)).select("*", each("layer", (*bands, "index"))).select("*", each("sigma", sigmas))
-    fused = fusion.fuse(high, low, targets, [*keys, "strategy", "layer"])
-    mode = F.when(F.col("layer") == "index", "itb").otherwise("bti")
-    layer = lambda b: F.max(F.when(F.col("layer") == b, F.col("fused")))
-    wide = fused.withColumn("mode", mode).groupBy(*cell, "strategy", "sigma", "mode").agg(*[layer(b).alias(b) for b in bands], layer("index").alias("_index"))
-    scenario = metrics.scenario_key(F.col("strategy"), F.col("sigma"), F.col("mode"))
-    return wide.select(*cell, scenario.alias("scenario"), *bands, F.coalesce("_index", index).alias("greenness_index"))
+    first = nodata_to_null(index(F.col("b03"), F.col("b04")))
+    cell, layers = [*keys, "row", "col", "date"], [*bands, "index"]
+    targets = coarse.select(*keys, "date").distinct().withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in sigmas])))
+    runs = {s: ~F.col(f"excluded_{s}") for s in STRATEGIES}
+    fused = fusion.fuse_layers(fine.withColumn("index", first), coarse.select(*cell, *bands, first.alias("index")), targets, list(keys), layers, runs)
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    whole = F.struct(F.lit("bti").alias("mode"), *[F.col(b).alias(b) for b in bands], gcc(F.col("b02"), F.col("b03"), F.col("b04")).alias("greenness_index"))
+    alone = F.struct(F.lit("itb").alias("mode"), *[none(b) for b in bands], F.col("index").alias("greenness_index"))
+    some = F.greatest(*[F.col(f"n_{b}") for b in bands]) > 0
+    each = fused.withColumn("_s", F.explode(F.array_compact(F.array(F.when(some, whole), F.when(F.col("n_index") > 0, alone)))))
+    scenario = metrics.scenario_key(F.col("run"), F.col("sigma"), F.col("_s.mode"))
+    return each.select(*cell, scenario.alias("scenario"), *[F.col(f"_s.{b}").alias(b) for b in bands], F.col("_s.greenness_index").alias("greenness_index"))
 
 
 def scenario_series(fused: DataFrame, row: Column, col: Column, keys: tuple[str, ...] = ("site",), bands: tuple[str, ...] = raster.BANDS) -> DataFrame:
     """The 3 x 3 sample about the site of every scenario and day, as one export table: index, greenness and bands."""
-    from ..functions.indices import ndvi
-
     near = fused.filter(F.col("row").between(row - 1, row + 1) & F.col("col").between(col - 1, col + 1))
     valid = positive(F.col("b04")) & positive(F.col("b8a"))
     means = [F.avg(F.when(valid, F.col(b))).alias(b) for b in bands]
@@ -160,12 +154,9 @@ def gap_experiment(entries: DataFrame, fine: DataFrame, coarse: DataFrame, sigma
     near = F.abs(F.datediff("date", "prediction_date")) <= fusion.MAX_DAYS
     full = fine.join(wanted, "site").filter(near)
     gone = F.col("date") == F.col("withheld_date") if mask == "withheld_day" else F.col("date").between(F.col("window_start"), F.col("window_end"))
-    runs = F.when(gone, F.array(F.lit("nogap"))).otherwise(F.array(F.lit("gap"), F.lit("nogap")))
-    high = full.select(*keys, "row", "col", "date", "value", "distance", F.explode(runs).alias("run"))
-    both = F.explode(F.array(F.lit("gap"), F.lit("nogap"))).alias("run")
-    low = coarse.join(wanted, "site").filter(near).select(*keys, "row", "col", "date", "value", both)
-    targets = wanted.select(*keys, F.col("prediction_date").alias("date"), F.lit(sigma).alias("sigma"), both)
-    fused = fusion.fuse(high, low, targets, [*keys, "run"])
-    pair = fused.groupBy(*keys, "row", "col").agg(*[F.max(F.when(F.col("run") == r, F.col("fused"))).alias(r) for r in ("gap", "nogap")])
+    low = coarse.join(wanted, "site").filter(near).select(*keys, "row", "col", "date", "value")
+    targets = wanted.select(*keys, F.col("prediction_date").alias("date"), F.lit(sigma).alias("sigma"))
+    fused = fusion.fuse_layers(full.withColumn("_gone", gone), low, targets, keys, ["value"], {"gap": ~F.col("_gone"), "nogap": F.lit(True)})
+    pair = fused.groupBy(*keys, "row", "col").agg(*[F.max(F.when(F.col("run") == r, F.col("value"))).alias(r) for r in ("gap", "nogap")])
     truth = fine.join(wanted.select(*keys, F.col("withheld_date").alias("date")), ["site", "date"]).select(*keys, "row", "col", F.col("value").alias("truth"))
     return gap.results(entries, gap.evaluate(pair.join(truth, [*keys, "row", "col"]), keys), keys)

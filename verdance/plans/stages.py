@@ -116,8 +116,9 @@ def phenology_all(spark, sf_dir):
 
 _ALL = _ONE.replace("avg(b04)", "avg(b03) AS b03, avg(b04)")
 _GCC = "CASE WHEN least(b02, b03, b04) >= 0 AND b02 + b03 + b04 > 0 THEN b03 / (b02 + b03 + b04) END"
+_RGR = "CASE WHEN b04 + b03 + b04 > 0 THEN nullif(b03 / (b04 + b03 + b04), 0) END"
 _LAYERS = (*raster.BANDS, "index")
-_LONG = lambda name, more: " UNION ALL ".join(f"SELECT site, row, col, date, strategy, '{x}' AS layer, {_GCC if x == 'index' else x} AS value{more} FROM {name}" for x in _LAYERS)
+_LONG = lambda name, more: " UNION ALL ".join(f"SELECT site, row, col, date, strategy, '{x}' AS layer, {_RGR if x == 'index' else x} AS value{more} FROM {name}" for x in _LAYERS)
 _SCENARIOS = [
     b.PX, b.BRIGHT, _ALL, "strategies(strategy) AS (VALUES ('aggressive'), ('nonaggressive'))",
     "fine AS (SELECT one.*, abs(b02) * 40 AS distance, strategy FROM one, strategies WHERE dayofyear(date) % 3 = 0 AND dayofyear(date) % CASE WHEN strategy = 'aggressive' THEN 5 ELSE 4 END <> 0)",
