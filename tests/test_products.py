@@ -88,12 +88,7 @@ def test_baselines_and_document(spark):
     assert out["baseline"]["s2"]["residual_mean"] == pytest.approx(-0.1) and out["temporal"]["aggressive_sigma20"]["nse"] == pytest.approx(0.7)
 
 
-def test_prepared_and_cropped(spark):
-    px = [("a", D(2024, 1, 1), f, r, c, *[0.0 if (r, c) == (0, 0) and f == "f1" else 5000.0] * 4) for f in ("f1", "f2", "f0") for r in range(4) for c in range(4)]
-    pixels = spark.createDataFrame(px, "site string, date date, filename string, row int, col int, b02 double, b03 double, b04 double, b8a double")
-    got = products.prepare_fine(pixels, spark.createDataFrame([("f0",)], "filename string"), (4, 4), 2).collect()
-    assert {r.filename for r in got} == {"f1"} and {r.b02 for r in got} == {0.0, 0.5}
-    assert {(r.row // 2, r.col // 2): r.distance for r in got} == {(0, 0): 0.0, (0, 1): 1.0, (1, 0): 1.0, (1, 1): pytest.approx(2**0.5)}
+def test_cropped(spark):
     value = lambda some: spark.createDataFrame([("a", D(2024, 1, 1), r, c, v) for r, c, v in some], "site string, date date, row int, col int, value double")
     out = products.cropped(value([(0, 0, None), (1, 1, 0.3), (1, 2, None), (2, 2, 0.4)]), value([(1, 1, 7.0)]), value([(0, 0, 8.0), (1, 1, 9.0)]), 2, F.col("value") > 0.001)
     assert sorted((r.row, r.col, r.fused, r.fine, r.coarse) for r in out.collect()) == [(0, 0, 0.3, 7.0, 8.0), (0, 1, None, None, None), (1, 1, 0.4, None, 9.0)]

@@ -7,27 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indices import gcc, gcc_rgr, ndvi, nodata_to_null, positive, reflectance
-from . import fusion, gap, metrics, raster, screening, series, smoothing
+from ..functions.indices import gcc, gcc_rgr, gcc_strict, ndvi, nodata_to_null, positive, reflectance
+from . import fusion, gap, metrics, raster, screening, series, smoothing, warp
 
 STRATEGIES = tuple(screening.STRATEGIES)
 
 
-def prepare_fine(pixels: DataFrame, excluded: DataFrame | None, size: tuple[int, int], ratio: int, keys: tuple[str, ...] = ("site", "date"), bands: tuple[str, ...] = raster.BANDS) -> DataFrame:
-    """Fine scenes ready for fusion: screened, the first scene of a day, reflectances, and the distance to clouds of their coarse cell.
+def day_scenes(scenes: DataFrame, excluded: DataFrame | None, keys: tuple[str, ...] = ("site", "date")) -> DataFrame:
+    """(keys, filename) of the first scene by name of each day that screening keeps. Only names are read, not pixels."""
+    kept = screening.without(scenes.select(*keys, "filename"), excluded, ["filename"])
+    return kept.groupBy(*keys).agg(F.min("filename").alias("filename"))
 
-    pixels(keys, filename, row, col, bands) in digital numbers; excluded(filename). A coarse cell is clear where all its fine
-    pixels hold a value. Distances are in coarse cells; null where a scene has no cloud.
+
+def prepare_fine(tiles: DataFrame, excluded: DataFrame | None, grids: DataFrame, coarse: DataFrame, ratio: int, keys: tuple[str, ...] = ("site", "date"), bands: tuple[str, ...] = raster.BANDS, array: str = "bands") -> DataFrame:
+    """Fine scenes ready for fusion: the day's scene chosen, reflectances warped to the coarse bounds, and the distance to clouds of their coarse cell.
+
+    tiles(keys, filename, array) hold digital numbers, one band after another, row by row, on their site's grid; grids and coarse
+    are those grids and the coarse ones (see warp), by all keys but the day. The result is on the coarse bounds, `ratio` times as
+    fine. A coarse cell is clear where all its fine pixels hold a value, so cells beyond the scene are not. Distances are in
+    coarse cells; null where a scene has no cloud.
     """
-    kept = screening.without(pixels, excluded, ["filename"])
-    first = kept.groupBy(*keys).agg(F.min("filename").alias("filename"))
-    rows = kept.join(first, [*keys, "filename"], "left_semi").select(*keys, "filename", "row", "col", *[reflectance(F.col(b)).alias(b) for b in bands])
-    scene = [*keys, "filename"]
+    place, scene = list(keys[:-1]), [*keys, "filename"]
+    chosen = tiles.join(day_scenes(tiles, excluded, keys), scene, "left_semi").join(grids.select(*place, "height", "width"), place)
+    pixels = raster.explode_tiles(chosen, scene, array, F.col("width"), F.col("height"), bands)
+    target = warp.refined(coarse, ratio)
+    read = warp.warp(pixels.select(*scene, "row", "col", *[reflectance(F.col(b)).alias(b) for b in bands]), grids, target, place, scene, list(bands))
     cell = [F.floor(F.col(c) / ratio).cast("int") for c in ("row", "col")]
-    clear = rows.withColumn("_r", cell[0]).withColumn("_c", cell[1]).groupBy(*scene, F.col("_r").alias("row"), F.col("_c").alias("col")).agg(F.bool_and(raster.valid(bands)).alias("clear"))
-    distances = raster.rescale_distance(raster.cloud_distance(clear, scene, "clear"), scene)
-    found = distances.select(*scene, F.col("row").alias("_r"), F.col("col").alias("_c"), "distance")
-    return rows.withColumn("_r", cell[0]).withColumn("_c", cell[1]).join(found, [*scene, "_r", "_c"]).drop("_r", "_c")
+    seen = read.groupBy(*scene, cell[0].alias("row"), cell[1].alias("col")).agg(F.count_if(raster.valid(bands)).alias("_n"))
+    every = chosen.select(*scene).join(coarse.select(*place, "height", "width"), place)
+    every = every.select(*scene, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select(*scene, "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    clear = every.join(seen, [*scene, "row", "col"], "left").select(*scene, "row", "col", (F.coalesce("_n", F.lit(0)) == ratio * ratio).alias("clear"))
+    found = raster.rescale_distance(raster.cloud_distance(clear, scene, "clear"), scene)
+    found = found.select(*scene, F.col("row").alias("_r"), F.col("col").alias("_c"), "distance")
+    return read.withColumn("_r", cell[0]).withColumn("_c", cell[1]).join(found, [*scene, "_r", "_c"]).drop("_r", "_c")
+
+
+def truth_on_grid(pixels: DataFrame, grids: DataFrame, target: DataFrame, keys: list[str], scene: list[str]) -> DataFrame:
+    """The strict greenness of fine scenes on another grid, as spatial scores compare it: blue, green and red are warped, then divided."""
+    out = warp.warp(pixels, grids, target, keys, scene, ["b02", "b03", "b04"])
+    return out.select(*scene, "row", "col", gcc_strict(F.col("b02"), F.col("b03"), F.col("b04")).alias("truth"))
 
 
 def prepare_coarse(pixels: DataFrame, excluded: DataFrame | None, size: tuple[int, int], target: tuple[int, int], keys: tuple[str, ...] = ("site", "date"), bands: tuple[str, ...] = raster.BANDS, width: int = 5) -> DataFrame:

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = ("b02", "b03", "b04", "b8a")
 OUTLIER, VALID = 5.0, 0.001
 
 
-def explode_tiles(tiles: DataFrame, keys: list[str], array: str, width: int, height: int, bands: tuple[str, ...] = BANDS) -> DataFrame:
+def explode_tiles(tiles: DataFrame, keys: list[str], array: str, width: int | Column, height: int | Column, bands: tuple[str, ...] = BANDS) -> DataFrame:
     """Pixel rows of tiles that hold one band after another, row by row: no shuffle, each tile yields its own pixels."""
     size = width * height
-    places = tiles.select(*keys, array, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_p"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_p")
+    width, size = F.lit(width).alias("_w"), F.lit(size).alias("_n")
+    places = tiles.select(*keys, array, width, size, each)
+    width, size = F.col("_w"), F.col("_n")
     return places.select(*keys, F.floor(F.col("_p") / width).cast("int").alias("row"), (F.col("_p") % width).cast("int").alias("col"), *[F.get(F.col(array), F.col("_p") + k * size).cast("double").alias(b) for k, b in enumerate(bands)])
 
 
@@ -96,17 +101,83 @@ def resample(coarse: DataFrame, scene: list[str], width: int, height: int, ratio
 
 
 def cloud_distance(cells: DataFrame, scene: list[str], clear: str) -> DataFrame:
-    """Distance of each coarse cell to its scene's nearest cloudy one, 0 on it; null where the scene has none. A coarse grid is a few dozen cells."""
-    cloudy = cells.filter(~F.col(clear)).select(*scene, F.col("row").alias("_r"), F.col("col").alias("_c"))
-    d = F.sqrt((F.pow(F.col("row") - F.col("_r"), 2) + F.pow(F.col("col") - F.col("_c"), 2)).cast("double"))
-    return cells.join(cloudy, scene, "left").groupBy(*scene, "row", "col").agg(F.min(d).alias("distance"))
+    """Distance of each cell to its scene's nearest cloudy one, 0 on it; null where the scene has none.
+
+    Exact and in time linear in the cells: the nearest cloudy row of each column by a window, then along each row the lower
+    envelope of the parabolas that stand on its columns. A row of a raster is one array, whole rasters are never gathered. Cells
+    that a scene lacks between its first and last row and column are neither clear nor cloudy and have no row.
+    """
+    box = cells.groupBy(*scene).agg(F.min("row").alias("_a"), F.max("row").alias("_b"), F.min("col").alias("_c"), F.max("col").alias("_d"))
+    every = box.select(*scene, "_c", "_d", F.explode(F.sequence("_a", "_b")).alias("row")).select(*scene, "row", F.explode(F.sequence("_c", "_d")).alias("col"))
+    cells = every.join(cells.select(*scene, "row", "col", F.col(clear).alias(clear), F.lit(True).alias("_real")), [*scene, "row", "col"], "left")
+    line = Window.partitionBy(*scene, "col").orderBy("row")
+    cloudy = F.when(~F.col(clear), F.col("row"))
+    above, below = (f("_k", True).over(line.rowsBetween(*frame)) for f, frame in ((F.last, (Window.unboundedPreceding, 0)), (F.first, (0, Window.unboundedFollowing))))
+    down = cells.select(*scene, "row", "col", "_real", cloudy.alias("_k")).select(*scene, "row", "col", F.coalesce("_real", F.lit(False)).alias("_real"), F.least(F.col("row") - above, below - F.col("row")).cast("double").alias("_g"))
+    packed = down.groupBy(*scene, "row").agg(F.sort_array(F.collect_list(F.struct("col", "_g", "_real"))).alias("_l"))
+    kinds = [f"{k} {packed.schema[k].dataType.simpleString()}" for k in (*scene, "row")]
+    out = packed.mapInArrow(_along_rows(len(scene) + 1), ", ".join([*kinds, f"col {cells.schema['col'].dataType.simpleString()}", "distance double"]))
+    return out
+
+
+def _along_rows(n_keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(n_keys)
+            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            place, g = flat.field("col").to_numpy(), flat.field("_g").to_numpy(zero_copy_only=False).astype(float)
+            start, d = np.concatenate([[0], np.cumsum(size)]), np.full(len(g), np.nan)
+            for n in np.unique(size):  # rows of one length go together
+                rows = np.flatnonzero(size == n)
+                at = start[rows][:, None] + np.arange(n)
+                d[at] = np.sqrt(lower_envelope(place[at].astype(float), g[at] ** 2))
+            real = flat.field("_real").to_numpy(zero_copy_only=False)
+            each, d = pa.array(np.repeat(np.arange(b.num_rows), size)[real]), d[real]
+            columns = [b.column(k).take(each) for k in range(n_keys)] + [pa.array(place[real]), pa.array(d, mask=np.isnan(d))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:n_keys], "col", "distance"])
+
+    return run
+
+
+def lower_envelope(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """min over j of (x_i - x_j)^2 + h_j of each row, for places x that rise along the row; nan heights don't count, nan where there are none.
+
+    Parabolas are stacked from the left; one that a later one undercuts before its own span begins is taken off again. Rows are
+    swept together, so the steps follow the length of a row, not their number.
+    """
+    m, n = x.shape
+    stack, left = np.zeros((m, n), int), np.full((m, n + 1), np.inf)
+    top, rows = np.full(m, -1), np.arange(m)
+    for j in range(n):
+        live = rows[~np.isnan(h[:, j])]
+        cut = np.full(m, -np.inf)
+        while len(live):
+            some = live[top[live] >= 0]
+            k = stack[some, top[some]]
+            cut[live] = -np.inf
+            cut[some] = ((h[some, j] + x[some, j] ** 2) - (h[some, k] + x[some, k] ** 2)) / (2 * (x[some, j] - x[some, k]))
+            under = some[cut[some] <= left[some, top[some]]]
+            done = np.setdiff1d(live, under, assume_unique=True)
+            top[done] += 1
+            stack[done, top[done]], left[done, top[done]], left[done, top[done] + 1] = j, cut[done], np.inf
+            top[under] -= 1
+            live = under
+    out, at = np.full((m, n), np.nan), np.zeros(m, int)
+    known = rows[top >= 0]
+    for j in range(n):
+        live = known
+        while len(live):
+            live = live[(at[live] < top[live]) & (left[live, np.minimum(at[live] + 1, n)] < x[live, j])]
+            at[live] += 1
+        k = stack[known, at[known]]
+        out[known, j] = (x[known, j] - x[known, k]) ** 2 + h[known, k]
+    return out
 
 
 def rescale_distance(distances: DataFrame, scene: list[str]) -> DataFrame:
     """In a scene whose largest distance is at most 1, positive distances become 2, so that its pixels weigh something."""
-    top = distances.groupBy(*scene).agg(F.max("distance").alias("_top"))
-    out = distances.join(top, scene).withColumn("distance", F.when((F.col("_top") <= 1) & (F.col("distance") > 0), 2.0).otherwise(F.col("distance")))
-    return out.select(*distances.columns)
+    top = F.max("distance").over(Window.partitionBy(*scene))  # cells of a coarse raster; the distances are not computed twice
+    return distances.withColumn("_top", top).withColumn("distance", F.when((F.col("_top") <= 1) & (F.col("distance") > 0), 2.0).otherwise(F.col("distance"))).drop("_top")
 
 
 def stretch_range(pixels: DataFrame, scene: list[str], value: str) -> DataFrame:
@@ -119,21 +190,69 @@ def stretch_range(pixels: DataFrame, scene: list[str], value: str) -> DataFrame:
 # -- positions
 
 
-def to_utm(lon: Column, lat: Column, zone: int = 32) -> tuple[Column, Column]:
-    """Easting and northing on WGS 84 by the series of Krueger to the third order; good to millimetres within the zone."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    root = 2 * math.sqrt(n) / (1 + n)
-    t = F.sinh(F.atanh(F.sin(phi)) - root * F.atanh(root * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+_A, _FLAT = 6378137.0, 1 / 298.257223563
+_N = _FLAT / (2 - _FLAT)
+_RADIUS = 0.9996 * _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: Coefficients of the series of Krueger to the third order: to the plane, back, and from conformal to geographic latitude.
+_TO_PLANE = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_FROM_PLANE = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def _conformal(phi: Column) -> Column:
+    root = 2 * math.sqrt(_N) / (1 + _N)
+    return F.sinh(F.atanh(F.sin(phi)) - root * F.atanh(root * F.sin(phi)))
+
+
+def _on_sphere(t: Column, lam: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+
+def _to_plane(xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
-    for k, c in enumerate(alpha, 1):
+    for k, c in enumerate(_TO_PLANE, 1):
         east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
         north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-    return 500_000 + 0.9996 * big_a * east, 0.9996 * big_a * north
+    return 500_000 + _RADIUS * east, _RADIUS * north
+
+
+def _from_plane(xi: Column, eta: Column) -> tuple[Column, Column]:
+    x, y = xi, eta
+    for k, c in enumerate(_FROM_PLANE, 1):
+        x = x - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    return x, y
+
+
+def _geographic(chi: Column) -> Column:
+    return sum((c * F.sin(2 * k * chi) for k, c in enumerate(_LATITUDE, 1)), chi)
+
+
+def to_utm(lon: Column, lat: Column, zone: int = 32) -> tuple[Column, Column]:
+    """Easting and northing on WGS 84; good to millimetres within the zone."""
+    return _to_plane(*_on_sphere(_conformal(F.radians(lat)), F.radians(lon - (6 * zone - 183))))
+
+
+def between_zones(rows: DataFrame, x: str, y: str, zone: str, other: str, names: tuple[str, str]) -> DataFrame:
+    """rows with a position of one zone in another one's coordinates, as `names`; as it is where the zones are the same.
+
+    The steps are columns of their own, as each uses the one before several times over; the last is a generator's output, so that
+    no filter on it is pushed down and multiplied through them.
+    """
+    step = lambda df, **named: df.withColumns({f"_{k}": c for k, c in named.items()})
+    out = step(rows, xi=F.col(y) / _RADIUS, eta=(F.col(x) - 500_000) / _RADIUS)
+    a, e = _from_plane(F.col("_xi"), F.col("_eta"))
+    out = step(out, a=a, e=e)
+    out = step(out, chi=F.asin(F.sin("_a") / F.cosh("_e")), lam=F.atan2(F.sinh("_e"), F.cos("_a")) + F.radians(6 * (F.col(zone) - F.col(other)).cast("double")))
+    out = step(out, phi=_geographic(F.col("_chi")))
+    out = step(out, t=_conformal(F.col("_phi")))
+    xi, eta = _on_sphere(F.col("_t"), F.col("_lam"))
+    out = step(out, xi=xi, eta=eta)
+    east, north = _to_plane(F.col("_xi"), F.col("_eta"))
+    out = step(out, east=east, north=north)
+    same = F.col(zone) == F.col(other)
+    moved = F.struct(F.when(same, F.col(x)).otherwise(F.col("_east")).alias(names[0]), F.when(same, F.col(y)).otherwise(F.col("_north")).alias(names[1]))
+    return out.select(*rows.columns, F.inline(F.array(moved)))
 
 
 def pixel_of(x: Column, y: Column, x0: Column, y0: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
@@ -188,22 +307,9 @@ def pixel_sample(pixels: DataFrame, scene: list[str], row: Column, col: Column,
 
 
 def to_lonlat(east: Column, north: Column, zone: int = 32) -> tuple[Column, Column]:
-    """Longitude and latitude of a northern UTM position: the inverse of to_utm, by the series of Krueger to the third order."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
-    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
-    xi, eta = north / (0.9996 * big_a), (east - 500_000) / (0.9996 * big_a)
-    x, y = xi, eta
-    for k, c in enumerate(beta, 1):
-        x = x - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        y = y - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    chi = F.asin(F.sin(x) / F.cosh(y))
-    phi = chi
-    for k, c in enumerate(delta, 1):
-        phi = phi + c * F.sin(2 * k * chi)
-    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183), F.degrees(phi)
+    """Longitude and latitude of a northern UTM position: the inverse of to_utm."""
+    x, y = _from_plane(north / _RADIUS, (east - 500_000) / _RADIUS)
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (6 * zone - 183), F.degrees(_geographic(F.asin(F.sin(x) / F.cosh(y))))
 
 
 def envelope_window(corners: list[tuple[Column, Column]], west: Column, south: Column, east: Column, north: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column, Column]:

@@ -21,12 +21,12 @@ TRUTH = "view"
 
 #: Result columns that hold dates, by query; both engines give them as text.
 DAYS_OF = {
-    **dict.fromkeys("report_pivot dedupe_first dedupe_last dedupe_first_valid export_full_outer date_set_operations day_grid_interpolation moving_average_5 increment_counter precedence_merge whittaker same_day_composite weighted_fusion weighted_fusion_all_days catalogue_first_items".split(), ("date",)),
+    **dict.fromkeys("report_pivot dedupe_first dedupe_last dedupe_first_valid export_full_outer date_set_operations day_grid_interpolation moving_average_5 increment_counter precedence_merge whittaker same_day_composite weighted_fusion catalogue_first_items".split(), ("date",)),
     "temporal_metrics": ("first_day", "last_day"),
     "filename_dates": ("parsed",),
     "day_keys": ("round_trip",),
     "centred_windows": ("window_start", "window_end"),
-    **dict.fromkeys(("nearest_acquisition", "nearest_acquisition_all_orders"), ("target", "nearest_day")),
+    "nearest_acquisition": ("target", "nearest_day"),
     "gap_manifest": ("midpoint_date", "prediction_date", "window_start", "window_end", "withheld_date"),
 }
 
@@ -601,9 +601,6 @@ def bbox_and_pixel(spark, sf_dir):
     return b.table(spark, sf_dir, "supplier").select("s_suppkey", *[c.alias(n) for c, n in zip(raster.bbox(lon, lat, 0.011), ("west", "south", "east", "north"), strict=True)], row.alias("row"), col.alias("col"))
 
 
-# second names of these four, kept for callers
-for _name, _again in (("nearest_acquisition", "nearest_acquisition_all_orders"), ("bilinear_resample", "bilinear_resample_all_scenes"), ("cubic_resample", "cubic_resample_all_scenes"), ("weighted_fusion", "weighted_fusion_all_days")):
-    QUERIES[_again], ORACLES[_again] = QUERIES[_name], ORACLES[_name]
-
-from . import products as _products  # noqa: E402, F401  (these register their queries beside the ones above)
+from . import grids as _grids  # noqa: E402, F401  (these register their queries beside the ones above)
+from . import products as _products  # noqa: E402, F401
 from . import stages as _stages  # noqa: E402, F401

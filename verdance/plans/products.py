@@ -11,7 +11,7 @@ from . import bindings as b
 from .catalogue import _FLAGS, _WHITTAKER, BUNDLE, DAYS_OF, _flagged, query, r6, sql
 
 DAYS_OF |= {
-    **dict.fromkeys("day_counts prepare_fine prepare_coarse cropped_triples screening_table".split(), ("date",)),
+    **dict.fromkeys("day_counts prepare_coarse cropped_triples screening_table".split(), ("date",)),
     "periods": ("first", "last"),
     "baseline_metrics": ("first_day", "last_day"),
     "gap_whittaker": ("withheld_date", "prediction_date"),
@@ -82,19 +82,6 @@ def _excluded(rows: DataFrame) -> DataFrame:
     return rows.filter("scene % 5 = 0").select("filename")
 
 
-@query(sql([b.PX, _NAMED, """kept AS (SELECT * FROM named WHERE scene % 5 <> 0),
-chosen AS (SELECT * FROM kept k WHERE filename = (SELECT min(filename) FROM kept o WHERE o.site = k.site AND o.date = k.date)),
-refl AS (SELECT site, date, filename, row, col, b02 * 10000 / 10000 AS b02, b03 * 10000 / 10000 AS b03, b04 * 10000 / 10000 AS b04, b8a * 10000 / 10000 AS b8a FROM chosen),
-cells AS (SELECT site, date, filename, row // 2 AS r, col // 2 AS c, bool_and(greatest(b02, b03, b04, b8a) > 0.001) AS clear FROM refl GROUP BY 1, 2, 3, 4, 5),
-away AS (SELECT a.site, a.date, a.filename, a.r, a.c, min(sqrt((a.r - k.r) ** 2 + (a.c - k.c) ** 2)) AS d FROM cells a LEFT JOIN cells k ON k.filename = a.filename AND NOT k.clear GROUP BY 1, 2, 3, 4, 5),
-scaled AS (SELECT *, CASE WHEN max(d) OVER (PARTITION BY filename) <= 1 AND d > 0 THEN 2.0 ELSE d END AS distance FROM away)"""],
-       "SELECT f.site, f.date, f.filename, row, col, " + r6(*raster.BANDS, "distance") + " FROM refl f JOIN scaled s ON s.filename = f.filename AND s.r = f.row // 2 AND s.c = f.col // 2"))
-def prepare_fine(spark, sf_dir):
-    rows = _named(spark, sf_dir)
-    numbers = rows.select("site", "date", "filename", "row", "col", *[(F.col(x) * 10000).alias(x) for x in raster.BANDS])
-    return products.prepare_fine(numbers, _excluded(rows), (4, 4), 2)
-
-
 def _kernel(x: str) -> str:
     return f"(CASE WHEN {x} < 1 THEN 1.5 * {x} ** 3 - 2.5 * {x} ** 2 + 1 WHEN {x} < 2 THEN -0.5 * {x} ** 3 + 2.5 * {x} ** 2 - 4 * {x} + 2 ELSE 0 END)"
 
