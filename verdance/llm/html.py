@@ -1,7 +1,7 @@
 """Main text of web pages: element roles, and a suffix array per host over the blocks of all pages.
 
-Markup that names menus, headers, footers, sidebars, notices, adverts, forms or comments drops its text. The other blocks of
-all pages go to their host's suffix array: the word streams of a host's pages are concatenated, and substrings that are long
+Markup that names menus, headers, footers, sidebars, notices, adverts, forms or comments drops its text; what only may name them,
+in a section of an article, is left to the array. The other blocks of all pages go to their host's suffix array: the word streams of a host's pages are concatenated, and substrings that are long
 and stand on several distinct pages of the host are removed; unique runs stay. Roles have the last word: a paragraph, heading
 or quotation of a declared article stays whatever repeats it, and where a page declares an article, text outside it goes.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import U64, cut, mix, utf8, word_hashes, words
 from .graph import loose
 
-RAW = frozenset("script style title textarea template svg math iframe noscript select button object canvas audio video".split())
+RAW = frozenset("script style title textarea template svg annotation annotation-xml iframe noscript select button object canvas audio video".split())
 TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile("[\"'<>]")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -36,11 +36,15 @@ DROPPED_TAGS = frozenset("nav footer aside form dialog menu".split())
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer contentinfo sidebar aside complementary widget widgets ad ads adv advert adverts advertisement "
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe signup login search share sharing social related recommended "
-    "recommendations comment comments reply replies respond disqus discussion popup modal overlay toolbar pagination pager copyright skip".split()
+    "recommendations comment comments commentlist commentform commentbox reply replies respond disqus discussion popup modal overlay toolbar pagination pager copyright skip".split()
 )
 #: Of these, words that an article's own sections use too, and those that tell that they do not.
 WEAK_WORDS = frozenset("related discussion notice notices alert banner header search social reply respond skip copyright promotion complementary widget menu".split())
 TELLING = frozenset("post posts article articles story stories link links news reading content list box block item items more comment comments thread forum widget".split())
+#: Words that a section of an article may have as its name; as an id they don't tell that it isn't the article.
+NAMES = WEAK_WORDS | frozenset("ad ads adv advert adverts advertisement advertising sponsor promo cookie cookies consent gdpr share sharing social subscribe signup login newsletter toolbar overlay modal popup skip".split())
+#: Foreign elements that may end themselves.
+FOREIGN = frozenset("svg math".split())
 #: Elements of prose: in an article, their text is the article's.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 ROLES = ("main", "loose", "plain")
@@ -80,25 +84,40 @@ def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
             end = html.find(c, stop.end()) + 1
         end = stop.start() if stop and stop[0] == ">" else html.find(">", m.end())
         name, ends, at = m[2].lower(), bool(m[1]), end + 1
-        if name in RAW and not ends:
+        if name in FOREIGN and html[m.end() : end].rstrip().endswith("/"):
+            name = ""
+        elif name in RAW and not ends:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             name = ""
         yield start, at, name, ends, html[m.end() : end]
 
 
-def _drops(marks: set[str], within: bool) -> bool:
-    """Whether words of class, id and role mark what is not the article; `within` one, weak words need others that tell so."""
+def _verdict(tag: str, marks: set[str], ids: set[str], within: bool) -> str:
+    """What words of class and role, and of id, say of an element: drop, doubt or nothing.
+
+    Within an article an id is a name first: it tells only if all its words mark and none of them could name a section. Weak words
+    need others that tell, and a section of the article that has nothing but them, or a doubtful id, is left to the suffix array.
+    """
+    if not within:
+        return "drop" if (marks | ids) & DROPPED_WORDS else ""
+    ids = set() if tag in PROSE else ids - {""}
     found = marks & DROPPED_WORDS
-    if within and found and found <= WEAK_WORDS:
-        return bool(found - {"header"}) and (marks <= DROPPED_WORDS - {"discussion", "header"} or bool(marks & TELLING))
-    return bool(found)
+    if found and not found <= WEAK_WORDS or ids and ids <= DROPPED_WORDS - NAMES:
+        return "drop"
+    if found - {"header"}:
+        if marks & TELLING:
+            return "drop"
+        if marks <= DROPPED_WORDS - {"discussion", "header"}:
+            return "doubt" if tag == "section" else "drop"
+    return "doubt" if ids & DROPPED_WORDS else ""
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
     """(role, text) of a page's non-empty text blocks outside dropped elements, in page order.
 
-    The role is main for prose of a declared article, loose for its other text, and plain for text outside one.
+    The role is main for prose of a declared article, loose for its other text and for all text of its doubtful sections, and
+    plain for text outside one.
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, state, whether only markup of its own kind can end it
@@ -107,7 +126,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
         if text:
-            out.append(("loose" if state == "main" and not prose else state, text))
+            out.append(("loose" if state == "doubt" or (state == "main" and not prose) else state, text))
         held.clear()
 
     open_tags: dict[str, int] = {}
@@ -139,20 +158,28 @@ def blocks(html: str) -> list[tuple[str, str]]:
         if tag in BLOCKS and stack and stack[-1][0] == "p":
             pop()
             state = stack[-1][1] if stack else "plain"
-        marks, named_main = set(), tag in ("article", "main")
+        marks, ids, named_main = set(), set(), tag in ("article", "main")
         if "=" in attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 named_main |= (name.lower() == "role" and value == "main") or (name.lower() == "itemprop" and value == "articleBody")
                 if name.lower() != "aria-label":
-                    marks |= set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-        dropped = _drops(marks, state == "main") and tag not in ("body", "html")
-        hard = tag in DROPPED_TAGS or (tag == "header" and state != "main")
+                    these = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+                    if name.lower() == "id":
+                        ids |= these
+                    else:
+                        marks |= these
+        inside = state in ("main", "doubt")
+        verdict = _verdict(tag, marks, ids, inside) if tag not in ("body", "html") else ""
+        hard = tag in DROPPED_TAGS or (tag == "header" and not inside)
         if named_main:
             within = state == "drop" and any(s == "drop" and h for _, s, h in stack)
-            new = "drop" if within or marks & {"comment", "comments", "related", "reply", "replies", "sponsored", "ad", "ads", "promo"} else "main"
-        elif hard or dropped:
+            said = marks | (ids if not inside or ids <= DROPPED_WORDS - NAMES else set())
+            new = "drop" if within or said & {"comment", "comments", "related", "reply", "replies", "sponsored", "ad", "ads", "promo"} else "main"
+        elif hard or verdict == "drop":
             new = "drop"
+        elif verdict == "doubt" and state != "drop":
+            new = "doubt"
         else:
             new = state
         if tag not in VOID and (tag in CONTAINERS or new != state):
