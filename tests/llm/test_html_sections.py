@@ -30,7 +30,7 @@ def test_what_is_not_the_article_goes(part):
 
 def test_the_array_decides_doubtful_sections(spark):
     """A section that only may be a notice goes where its run stands on three pages of the host, and stays where it is the page's own."""
-    same, own = "accept all of our terms before you read any further here today", "this one is about the banners of the crusaders in the year {0} alone"
+    same, own = "accept all of our terms before you read any further here today", "banners {0} of crusaders {0} stood over {0} towns until year {0} ended"
     rows = [(k, f"http://h/{k}", PAGE.format(k, f'<section id="banner"><p>{same}</p></section><section id="ad-1066"><p>{own.format(k)}</p></section>')) for k in range(3)]
     rows.append((9, "http://other/9", PAGE.format(9, f'<section id="banner"><p>{same}</p></section>')))
     got = {r.page_id: r.text.split("\n") for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
