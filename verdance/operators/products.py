@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indices import gcc, gcc_rgr, gcc_strict, ndvi, nodata_to_null, positive, reflectance
-from . import fusion, gap, metrics, raster, screening, series, smoothing, warp
+from . import fusion, gap, metrics, phenology, raster, screening, series, smoothing, warp
 
 STRATEGIES = tuple(screening.STRATEGIES)
 
@@ -114,21 +114,30 @@ def metrics_document(baseline: DataFrame, temporal: DataFrame, stats: DataFrame,
 
 def phenology_of_site_seasons(site_seasons: DataFrame, truth: DataFrame) -> DataFrame:
     """All site-seasons with the start and end of their season from ground truth, null where it does not tell; truth(site, date, value)."""
-    from .phenology import season as season_of
-
     days = truth.withColumn("season", F.year("date")).groupBy("site", "season", F.dayofyear("date").alias("day")).agg(F.avg("value").alias("value"))
-    found = season_of(days, ["site", "season"])
+    found = phenology.season(days, ["site", "season"])
     date = lambda c: F.date_add(F.make_date(F.col("season"), F.lit(1), F.lit(1)), F.round(F.col(c)).cast("int") - 1)
     dates = found.select("site", "season", date("start").alias("green_up"), date("end").alias("green_down"))
     return site_seasons.select("site", "season").distinct().join(dates, ["site", "season"], "left")
 
 
+def phenology_of_three_years(site_seasons: DataFrame, truth: DataFrame, position: str | None = None) -> DataFrame:
+    """The same on a stack of three years (see phenology.season_of_three_years), with the fitted values and what the stack was."""
+    found = phenology.season_of_three_years(truth, ["site"], position=position)
+    return site_seasons.select("site", "season").distinct().join(found, ["site", "season"], "left")
+
+
+def site_means(near: DataFrame, scene: list[str], bands: tuple[str, ...] = raster.BANDS, more: list[Column] | None = None) -> DataFrame:
+    """Means of the bands over the pixels where the index is valid, one row a scene."""
+    valid = positive(F.col("b04")) & positive(F.col("b8a"))
+    return near.groupBy(*scene).agg(*[F.avg(F.when(valid, F.col(b))).alias(b) for b in bands], *(more or []))
+
+
 def site_bands(pixels: DataFrame, scene: list[str], row: Column, col: Column) -> DataFrame:
     """Per scene of a stack the 3 x 3 sample of NDVI, greenness and bands about the site: one pass for all three series."""
     near = pixels.filter(F.col("row").between(row - 1, row + 1) & F.col("col").between(col - 1, col + 1))
-    valid = positive(F.col("b04")) & positive(F.col("b8a"))
-    means = [F.avg(F.when(valid, F.col(b))).alias(b) for b in raster.BANDS]
-    return near.groupBy(*scene).agg(F.avg(ndvi(F.col("b04"), F.col("b8a"))).alias("ndvi"), F.avg(gcc(F.col("b02"), F.col("b03"), F.col("b04"))).alias("greenness_index"), *means)
+    index = F.avg(ndvi(F.col("b04"), F.col("b8a"))).alias("ndvi"), F.avg(gcc(F.col("b02"), F.col("b03"), F.col("b04"))).alias("greenness_index")
+    return site_means(near, scene, more=list(index)).select(*scene, "ndvi", "greenness_index", *raster.BANDS)
 
 
 def fused_scenarios(fine: DataFrame, coarse: DataFrame, sigmas: tuple[int, ...] = (20, 30), keys: tuple[str, ...] = ("site",), bands: tuple[str, ...] = raster.BANDS, index: Callable[[Column, Column], Column] = gcc_rgr) -> DataFrame:

@@ -604,3 +604,4 @@ def bbox_and_pixel(spark, sf_dir):
 from . import grids as _grids  # noqa: E402, F401  (these register their queries beside the ones above)
 from . import products as _products  # noqa: E402, F401
 from . import stages as _stages  # noqa: E402, F401
+from . import runs as _runs  # noqa: E402, F401  isort: skip

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, indices
-from ..operators import gap, metrics, products, raster, screening, series
+from ..operators import gap, products, raster, screening, series
 from . import bindings as b
 from .catalogue import _FLAGS, _WHITTAKER, BUNDLE, DAYS_OF, _flagged, query, r6, sql
 
@@ -28,10 +28,10 @@ firsts AS (SELECT site, baseline, date, arg_min_null(value, pos) AS value FROM s
 pairs AS (SELECT site, baseline, date, f.value AS pred, t.value AS truth FROM firsts f JOIN truth t USING (date) WHERE f.value IS NOT NULL AND t.value IS NOT NULL)"""
 
 
-def _candidates(spark: SparkSession, sf_dir: str, smooth: bool) -> DataFrame:
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     blue, green, red, _ = (F.col(c) for c in raster.BANDS)
     flagged = _flagged(spark, sf_dir).withColumn("value", indices.gcc(blue, green, red))
-    return products.baselines(flagged, F.col("source") == "O", ["site"], smooth)
+    return products.baselines(flagged, F.col("source") == "O", ["site"], False)
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,21 +41,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql([b.ACQ, _FLAGS, b.SER_LONG, _TRUTH, _BASELINE_SERIES, f"m AS (SELECT site, baseline, {BUNDLE} FROM pairs GROUP BY 1, 2)"],
        f"SELECT site, baseline, {r6('pearson_r', 'nse AS r_squared', 'rmse', 'mae', 'nrmse', 'nse', 'nse AS nse_pc')}, n_samples, first_day, last_day, {r6('residual_mean', 'residual_std')} FROM m WHERE n_samples >= 2"))
 def baseline_metrics(spark, sf_dir):
-    return products.scored(_candidates(spark, sf_dir, False), _truth(spark, sf_dir), ["site"], "baseline")
-
-
-@query()
-def metrics_document(spark, sf_dir):
-    """Per site one document: baselines with the smoothed ones, scenarios, their differences and the truth's statistics."""
-    candidates, truth = _candidates(spark, sf_dir, True), _truth(spark, sf_dir)
-    baseline = products.scored(candidates, truth, ["site"], "baseline")
-    # fused series stand in as the coarse ones moved by a constant for each scenario
-    grid = metrics.scenarios(spark).withColumn("baseline", F.concat(F.lit("s3_"), "strategy"))
-    fused = candidates.join(F.broadcast(grid), "baseline").select("site", "scenario", "date", (F.col("value") + F.col("sigma") / 1000).alias("value"), "pos")
-    temporal = products.scored(fused, truth, ["site"], "scenario").join(F.broadcast(grid.drop("baseline")), "scenario")
-    stats = metrics.truth_stats(truth.withColumn("k", F.lit(0)), ["k"]).drop("k")
-    sites = candidates.select("site").distinct().join(F.broadcast(stats))
-    return products.metrics_document(baseline, temporal, sites, ["site"])
+    return products.scored(_candidates(spark, sf_dir), _truth(spark, sf_dir), ["site"], "baseline")
 
 
 _GAP_WHITTAKER = _WHITTAKER.replace("FROM ser WHERE day(date) % 3 <> 0", "FROM ser WHERE day(date) % 3 <> 0 AND date <> DATE '2024-01-10'")

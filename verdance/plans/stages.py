@@ -16,6 +16,7 @@ DAYS_OF |= {
     **dict.fromkeys("cube_steps listing_window three_years plotted_series scenario_series".split(), ("date",)),
     "within_seasons": ("day",),
     "phenology_all": ("green_up", "green_down"),
+    "phenology_three_years": ("peak_day", "green_up", "green_down"),
     "gap_experiment": ("prediction_date", "withheld_date"),
 }
 
@@ -112,6 +113,40 @@ def phenology_all(spark, sf_dir):
     return products.phenology_of_site_seasons(wanted, truth)
 
 
+_STACK = [
+    b.SER_LONG, "obs AS (SELECT scenario, CAST(year(date) AS INT) AS y, CAST(dayofyear(date) AS INT) AS d, value AS v FROM ser_long WHERE value > 0)",
+    "near AS (SELECT *, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2, stddev_pop(v) OVER (PARTITION BY scenario, y) AS sd, count(*) OVER (PARTITION BY scenario, y) AS many FROM obs WINDOW w AS (PARTITION BY scenario, y ORDER BY d))",
+    "seen AS (SELECT scenario, y, d, v FROM near WHERE many <= 2 OR NOT (v > greatest(a1, a2, b1, b2) + 2 * sd OR v < least(a1, a2, b1, b2) - 2 * sd))",
+    "grid AS (SELECT scenario, y, CAST(unnest(range(1, CASE WHEN y % 4 = 0 THEN 367 ELSE 366 END)) AS INT) AS d FROM (SELECT DISTINCT scenario, y FROM obs))",
+    """spread AS (SELECT g.scenario, g.y, g.d, s.v, last_value(CASE WHEN s.v IS NOT NULL THEN g.d END IGNORE NULLS) OVER b AS d0, last_value(s.v IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN s.v IS NOT NULL THEN g.d END IGNORE NULLS) OVER a AS d1, first_value(s.v IGNORE NULLS) OVER a AS v1
+  FROM grid g LEFT JOIN seen s ON s.scenario = g.scenario AND s.y = g.y AND s.d = g.d WINDOW b AS (PARTITION BY g.scenario, g.y ORDER BY g.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g.scenario, g.y ORDER BY g.d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+    "daily AS (SELECT scenario, y, d, coalesce(v, v0 + (v1 - v0) / (d1 - d0) * (d - d0), v0, v1) AS v FROM spread WHERE d <= 365)",
+    "having3 AS (SELECT a.scenario, a.y AS season, count(*) = 3 AS whole FROM (SELECT DISTINCT scenario, y FROM obs) a JOIN (SELECT DISTINCT scenario, y FROM obs) o ON o.scenario = a.scenario AND abs(o.y - a.y) <= 1 GROUP BY 1, 2)",
+    "stacked AS (SELECT h.scenario, h.season, h.whole, part * 365 + d.d - 1 AS p, d.v FROM having3 h, (VALUES (0), (1), (2)) parts(part), daily d WHERE d.scenario = h.scenario AND d.y = CASE WHEN h.whole THEN h.season - 1 + part ELSE h.season END)",
+    "p5 AS (SELECT *, lag(v, 2) OVER w AS a, lag(v, 1) OVER w AS b, lead(v, 1) OVER w AS c, lead(v, 2) OVER w AS e FROM stacked WINDOW w AS (PARTITION BY scenario, season ORDER BY p))",
+    "fit AS (SELECT scenario, season, whole, p, (-3 * coalesce(a, 0) + 12 * coalesce(b, 0) + 17 * v + 12 * coalesce(c, 0) - 3 * coalesce(e, 0)) / (17 + CASE WHEN a IS NULL THEN 0 ELSE -3 END + CASE WHEN b IS NULL THEN 0 ELSE 12 END + CASE WHEN c IS NULL THEN 0 ELSE 12 END + CASE WHEN e IS NULL THEN 0 ELSE -3 END) AS f FROM p5)",
+    "pk AS (SELECT scenario, season, max(f) AS fitted_max, max(f) FILTER (p BETWEEN 365 AND 729) AS peak, arg_min(p, row(-f, p)) FILTER (p < 365) AS before, arg_min(p, row(-f, p)) FILTER (p BETWEEN 365 AND 729) AS mid, arg_min(p, row(-f, p)) FILTER (p > 729) AS after FROM fit GROUP BY 1, 2)",
+    "lv AS (SELECT f.scenario, f.season, min(f.f) FILTER (p BETWEEN before AND mid) AS l, arg_min(p, row(f.f, -p)) FILTER (p BETWEEN before AND mid) AS lp, min(f.f) FILTER (p BETWEEN mid AND after) AS r, arg_min(p, row(f.f, p)) FILTER (p BETWEEN mid AND after) AS rp FROM fit f JOIN pk USING (scenario, season) GROUP BY 1, 2)",
+    "st AS (SELECT f.scenario, f.season, f.whole, p, f.f, lag(f.f) OVER w AS f0, fitted_max, peak, mid, lp, rp, l + 0.5 * (peak - l) AS tl, r + 0.5 * (peak - r) AS tr FROM fit f JOIN pk USING (scenario, season) JOIN lv USING (scenario, season) WINDOW w AS (PARTITION BY f.scenario, f.season ORDER BY p))",
+    "hits AS (SELECT scenario, season, whole, fitted_max, peak, mid, tl, tr, min(p - 1 + (tl - f0) / (f - f0)) FILTER (f0 < tl AND f >= tl AND p > lp AND p <= mid) AS up, max(p - 1 + (tr - f0) / (f - f0)) FILTER (f0 >= tr AND f < tr AND p - 1 >= mid AND p <= rp) AS down FROM st GROUP BY ALL)",
+]
+
+
+def _stack_day(x: str) -> str:
+    """The date of a place in a stack; its years leave out the last day of leap years."""
+    n = f"CAST(floor({x} + 0.5) AS INT)"
+    return f"CAST(make_date(season - 1, 1, 1) + {n} + CASE WHEN (season - 1) % 4 = 0 AND {n} >= 365 THEN 1 ELSE 0 END + CASE WHEN season % 4 = 0 AND {n} >= 730 THEN 1 ELSE 0 END AS DATE)"
+
+
+@query(sql([*_STACK, "ss AS (SELECT scenario, CAST(unnest(range(1994, 2003)) AS INT) AS season FROM (SELECT DISTINCT scenario FROM ser_long))"],
+           "SELECT scenario AS site, season, CASE WHEN whole THEN 'three_independent_years' WHEN NOT whole THEN 'single_year_replicated' END AS stack, " + r6("peak") + f", {_stack_day('mid')} AS peak_day, {_stack_day('up')} AS green_up, {_stack_day('down')} AS green_down, " + r6("CASE WHEN up IS NOT NULL THEN tl END AS green_up_value", "CASE WHEN down IS NOT NULL THEN tr END AS green_down_value", "fitted_max") + " FROM ss LEFT JOIN hits USING (scenario, season)"))
+def phenology_three_years(spark, sf_dir):
+    """All site-seasons, on stacks of three years where there are as many."""
+    truth = b.ser_long(spark, sf_dir).select(F.col("scenario").alias("site"), "date", "value")
+    wanted = truth.select("site").distinct().withColumn("season", F.explode(F.sequence(F.lit(1994), F.lit(2002))))
+    return products.phenology_of_three_years(wanted, truth)
+
+
 # -- fusion
 
 _ALL = _ONE.replace("avg(b04)", "avg(b03) AS b03, avg(b04)")

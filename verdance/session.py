@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "verdance", cpus: int | str = "*", **config: str) -> SparkSession:
@@ -17,3 +19,14 @@ def session(app: str = "verdance", cpus: int | str = "*", **config: str) -> Spar
     if not os.environ.get("SPARK_MASTER") and "spark.master" not in config:
         builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g")
     return builder.config(map=settings | config).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint what several others read, in the folder that the cluster shares; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="verdance-checkpoint-"))
+    return df.checkpoint(True)
