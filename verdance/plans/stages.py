@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import gap, metrics, products, raster, reports
 from ..sinks import writers
-from ..sources import readers
+from ..sources import listing, readers
 from . import bindings as b
 from .catalogue import _ONE, _SEASON, DAYS_OF, query, r6, sql
 
 DAYS_OF |= {
-    **dict.fromkeys("cube_steps listing_window three_years plotted_series scenario_series".split(), ("date",)),
+    **dict.fromkeys("cube_steps listing_window paged_listing three_years plotted_series scenario_series".split(), ("date",)),
     "within_seasons": ("day",),
     "phenology_all": ("green_up", "green_down"),
     "phenology_three_years": ("peak_day", "green_up", "green_down"),
@@ -208,3 +208,10 @@ def gap_experiment(spark, sf_dir):
     sites = taken.filter("date >= date'2024-04-01'").groupBy("site").agg(F.min("date").alias("green_up")).select("site", F.lit(2024).alias("season"), "green_up", F.lit(None).cast("date").alias("green_down"))
     out = products.gap_experiment(gap.manifest(sites, taken), high, low)
     return out.select("site", "season", "gap_days", "prediction_date", "withheld_date", "n_pixels", *_SCORES, "error")
+
+
+@query("SELECT event_id, event_type, CAST(ts AS DATE) AS date, " + r6("value") + " FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def paged_listing(spark, sf_dir):
+    """Events as a listing in the order of time, a hundred to a page."""
+    rows = listing.paged_listing(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp_ntz, event_type string, value double", "ts", "2024-01-05", "2024-01-09")
+    return rows.select("event_id", "event_type", F.col("ts").cast("date").alias("date"), "value")
