@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indices import gcc, gcc_rgr, gcc_strict, ndvi, nodata_to_null, positive, reflectance
+from ..session import cut
+from ..sinks.versions import Store
 from . import fusion, gap, metrics, phenology, raster, screening, series, smoothing, warp
 
 STRATEGIES = tuple(screening.STRATEGIES)
@@ -61,6 +63,52 @@ def prepare_coarse(pixels: DataFrame, excluded: DataFrame | None, size: tuple[in
     return out
 
 
+def grow_fine(store: Store, tiles: DataFrame, excluded: DataFrame | None, grids: DataFrame, coarse: DataFrame, ratio: int, keys: tuple[str, ...] = ("site", "date"), bands: tuple[str, ...] = raster.BANDS, array: str = "bands") -> int:
+    """Prepare what `store` (of prepare_fine's rows, by keys and filename) doesn't hold yet, and commit it; returns how many scenes that were.
+
+    A day whose first scene is another one now gets that scene as well; `day_scenes` tells which scene of a day counts.
+    """
+    seen = store.version
+    new = cut(store.unseen(day_scenes(tiles, excluded, keys)))
+    n = new.count()
+    if n:
+        rows = tiles.join(new, [*keys, "filename"], "left_semi")
+        store.commit(prepare_fine(rows, None, grids, coarse, ratio, keys, bands, array), new, seen)
+    return n
+
+
+def grow_coarse(composites: Store, smoothed: Store, pixels: DataFrame, excluded: DataFrame | None, size: tuple[int, int], target: tuple[int, int], keys: tuple[str, ...] = ("site", "date"), bands: tuple[str, ...] = raster.BANDS, width: int = 5) -> tuple[int, int]:
+    """Bring both stores, of a site's composites by day and of their moving averages, up to pixels(keys, filename, row, col, bands).
+
+    A day is composited again if its scenes are not the ones it was made of. Averages count composites, not days, so those of the
+    width // 2 composites to either side of a new one are made again, and no others. Returns (days composited, days averaged).
+    """
+    kept = screening.without(pixels, excluded, ["filename"])
+    made_of = F.sha2(F.array_join(F.sort_array(F.collect_set("filename")), "\n"), 256).alias("made_of")
+    now = kept.select(*keys, "filename").distinct().groupBy(*keys).agg(made_of)
+    seen = composites.version
+    held = composites.read().select(*keys, "made_of").distinct() if seen else None
+    new = cut(now if held is None else now.join(held, [*keys, "made_of"], "left_anti"))
+    n = new.count()
+    if not n:
+        return 0, 0
+    daily = raster.composite(kept.join(new, list(keys), "left_semi"), list(keys), bands, "filename")
+    made = raster.resample_to(daily, list(keys), size, target, list(bands), "cubic").join(new, list(keys))
+    composites.commit(made, after=seen)
+    every, half = composites.read(), width // 2
+    place, day = list(keys[:-1]), keys[-1]
+    near = Window.partitionBy(*place).orderBy(day)
+    days = every.select(*keys).distinct().join(new.select(*keys, F.lit(1).alias("_new")), list(keys), "left")
+    redo = F.max("_new").over(near.rowsBetween(-half, half)) == 1
+    days = days.withColumn("_redo", redo).withColumn("_read", F.max("_new").over(near.rowsBetween(-2 * half, 2 * half)) == 1).filter("_read").select(*keys, F.coalesce("_redo", F.lit(False)).alias("_redo"))
+    days = cut(days)
+    out = every.drop("made_of").join(days, list(keys))
+    for b in bands:
+        out = smoothing.moving_average(out, [*place, "row", "col"], day, b, width).drop(b).withColumnRenamed("smoothed", b)
+    smoothed.commit(out.filter("_redo").drop("_redo"))
+    return n, days.filter("_redo").count()
+
+
 def cropped(fused: DataFrame, fine: DataFrame, coarse: DataFrame, ratio: int, is_valid: Column, scene: tuple[str, ...] = ("site", "date")) -> DataFrame:
     """Fused scenes cut to their valid extent, with the fine and coarse values of their pixels where those have the day.
 

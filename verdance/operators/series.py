@@ -68,6 +68,18 @@ def nearest(targets: DataFrame, acquisitions: DataFrame, keys: list[str], target
     return found.select(*keys, *[F.col(f"_target.{k}").alias(k) for k in [*others, target_day]], "_best.nearest_day", "_best.nearest_name", F.col("_best._d").alias("distance"))
 
 
+def nearest_in_season(targets: DataFrame, products: DataFrame, keys: list[str], kinds: list[str], target_day: str = "target", most_days: int = 365, day: str = "date", name: str = "filename") -> DataFrame:
+    """For each target and kind of product the nearest one of its season, the earlier of equals: (keys, season, target, kind, nearest_day, nearest_name, distance).
+
+    targets(keys, season, target) may repeat; products(keys, kind, date, filename) belong to the season of their year, so a search
+    stops at the season's ends. All kinds share one sort. Targets without a product within `most_days` have no row for the kind.
+    """
+    wanted = targets.select(*keys, "season", target_day, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    of_season = products.select(*keys, F.year(day).alias("season"), "kind", day, name)
+    found = nearest(wanted, of_season, [*keys, "season", "kind"], [*keys, "season", "kind"], target_day, most_days, day, name)
+    return found.select(*keys, "season", target_day, "kind", "nearest_day", "nearest_name", "distance")
+
+
 def day_counts(rows: DataFrame, keys: list[str], day: str = "date") -> DataFrame:
     """Acquisitions of each day."""
     return rows.groupBy(*keys, day).agg(F.count("*").alias("n"))

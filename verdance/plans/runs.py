@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..operators import products, raster, series
 from ..operators.run import Run
+from ..session import shared_folder
+from ..sinks.versions import Store
+from ..sources import tiles
 from . import bindings as b
 from .catalogue import _WHITTAKER, BUNDLE, DAYS_OF, query, r6, sql
+from .products import _DOWN, _NAMED, _excluded, _named
 from .stages import _GCC, _SCENARIOS, _SOUND, _one
 
-DAYS_OF |= {"site_metrics": ("first_day", "last_day"), "cropped_scenarios": ("date",), "smoothed_baselines": ("date",)}
+DAYS_OF |= {"site_metrics": ("first_day", "last_day"), "nearest_in_season": ("target", "nearest_day"), **dict.fromkeys(("cropped_scenarios", "smoothed_baselines", "grown_composites"), ("date",))}
 
 
 def _run(spark: SparkSession, sf_dir: str) -> Run:
@@ -70,3 +76,38 @@ def site_metrics(spark, sf_dir):
 def metrics_document(spark, sf_dir) -> DataFrame:
     """The same metrics as one document per site."""
     return _run(spark, sf_dir).document
+
+
+# -- products that grow, windows of tiles, products of a season
+
+
+@query(sql([b.PX, _NAMED, *_DOWN], "SELECT site, date, row, col, " + r6(*[f"avg(nullif({x}, 0)) OVER w AS {x}" for x in raster.BANDS]) + " FROM coarse WINDOW w AS (PARTITION BY site, row, col ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"))
+def grown_composites(spark, sf_dir):
+    """Coarse composites of two thirds of the scenes, grown by the rest: the same as made at once."""
+    rows = _named(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
+    composites, smoothed = (Store(spark, f"{folder}/{n}", ["site", "date"]) for n in ("composites", "smoothed"))
+    for part in (rows.filter("scene % 3 <> 0"), rows):
+        products.grow_coarse(composites, smoothed, part.drop("scene"), _excluded(rows), (4, 4), (2, 2))
+    return smoothed.read().select("site", "date", "row", "col", *raster.BANDS)
+
+
+@query(sql([b.PX, "mosaic AS (SELECT scene // 256 AS scene, (scene // 16) % 16 * 4 + row AS row, scene % 16 * 4 + col AS col, b02, b03, b04, b8a FROM px)"], "SELECT scene, CAST(row AS INT) AS row, CAST(col AS INT) AS col, " + r6(*raster.BANDS) + " FROM mosaic WHERE row BETWEEN 10 AND 25 AND col BETWEEN 6 AND 17"))
+def tile_window(spark, sf_dir):
+    """A window of mosaics of 16 x 16 tiles, read from tiles laid out along the curve."""
+    key = F.col("vec_id")
+    laid = b.table(spark, sf_dir, "embeddings").select(F.floor(key / 256).alias("scene"), (F.floor(key / 16) % 16).cast("int").alias("tile_row"), (key % 16).cast("int").alias("tile_col"), F.col("embedding").alias("bands"))
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    tiles.write_tiles(laid, path, ["scene"])
+    return tiles.read_window(spark, path, ["scene"], 10, 25, 6, 17, 4, 4)
+
+
+@query(sql([b.ACQ, "o AS (SELECT DISTINCT o_custkey % 10 AS site, CAST(1995 + o_orderkey % 5 AS INT) AS season, CAST(o_orderdate AS DATE) AS target FROM orders)",
+            "have AS (SELECT site, CAST(year(date) AS INT) AS season, CASE source WHEN 'O' THEN 'fine' ELSE 'coarse' END AS kind, date, min(filename) AS filename FROM acq WHERE site < 10 GROUP BY 1, 2, 3, 4)",
+            "best AS (SELECT o.*, kind, date, filename, abs(date - target) AS d, row_number() OVER (PARTITION BY o.site, o.season, target, kind ORDER BY abs(date - target), date, filename) AS k FROM o JOIN have USING (site, season) WHERE abs(date - target) <= 365)"],
+           "SELECT site, season, target, kind, date AS nearest_day, filename AS nearest_name, CAST(d AS INT) AS distance FROM best WHERE k = 1"))
+def nearest_in_season(spark, sf_dir):
+    """For each site, season and day asked for, the nearest product of both kinds within the season."""
+    targets = b.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("site"), (1995 + F.col("o_orderkey") % 5).cast("int").alias("season"), F.col("o_orderdate").cast("date").alias("target")).distinct()
+    have = b.acq(spark, sf_dir).filter("site < 10").select("site", F.when(F.col("source") == "O", "fine").otherwise("coarse").alias("kind"), "date", "filename")
+    return series.nearest_in_season(targets, have, ["site"], ["fine", "coarse"])

@@ -21,12 +21,18 @@ def session(app: str = "verdance", cpus: int | str = "*", **config: str) -> Spar
     return builder.config(map=settings | config).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint what several others read, in the folder that the cluster shares; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster shares; only a local session may do without one, and gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="verdance-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint what several others read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
