@@ -37,7 +37,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mixture(_table(spark, sf_dir, "documents"))
+    mixed = mixing.by_position(mixing.mixture(_table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
