@@ -133,3 +133,13 @@ def test_shards_add_up(spark, rng, monkeypatch):
     several = costs_of(grams)
     assert several.keys() == one.keys()
     assert abs(np.mean(list(several.values())) - np.mean(list(one.values()))) < 0.02 * abs(np.mean(list(one.values())))
+
+
+def test_counts_do_not_depend_on_shards(spark, rng, monkeypatch):
+    """Contexts of two bytes that are split over shards keep all their counts; without learning, costs tell counts only."""
+    grams = grams_of(spark, [prose(rng, 300) for _ in range(4)], [prose(rng, 50)]).cache()
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    one = costs_of(grams)
+    monkeypatch.setattr(lm, "SHARD_GRAMS", 10)
+    several = costs_of(grams)
+    assert several.keys() == one.keys() and all(several[k] == pytest.approx(one[k], abs=1e-9) for k in one)

@@ -2,10 +2,10 @@
 
 A text is a sequence of lower-cased bytes and an end symbol. Each symbol is a path of binary decisions in a Huffman tree of the
 training bytes. Five predictors know a decision by its node and the last 0 to 4 bytes, from counts of ones and zeros over all
-training documents. Contexts of up to two bytes have hashed slots, in tables that need not grow, as such contexts are few by
-nature. Contexts of three and four bytes are counted exactly and stay partitioned, so that what is known of them grows with the
-corpus: grams, that is four context bytes and a symbol, are dealt into shards by a hash of their last three context bytes, and
-a shard has all grams of its contexts. The predictors' logits are mixed by weights that a gate chooses (how often the two longest
+training documents. All counts are exact. Those without context and after one byte have a place each in a table of fixed size. Longer
+contexts stay partitioned, so that what is known of them grows with the corpus: grams, that is four context bytes and a symbol, are
+dealt into shards by their last two context bytes, and where these have many grams by the third as well. So a shard has all grams
+of its contexts of three and four bytes, and gets the symbol counts of its few contexts of two bytes with them. The predictors' logits are mixed by weights that a gate chooses (how often the two longest
 contexts have been seen), and an adaptive probability map, by the last byte, refines the result.
 
 Weights and map learn online from all training text. Each decision is predicted from counts without itself; equal contexts and
@@ -35,9 +35,8 @@ from .graph import loose
 
 CHUNK_BYTES, SLICE_BYTES = 8_000_000, 1_000_000
 END, ORDERS = 256, 5
-#: Orders with hashed slots, and the number of slots of each.
-LOW, SLOT_BITS = 3, (10, 16, 18)
-SLOT_START = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
+#: Orders that are one table: a slot for each node, without context and after each byte; and where the slots of each begin.
+LOW, SLOT_START = 2, np.array([0, 1 << 9, (1 << 9) + (1 << 17)])
 GATES, CELLS = 48, 33
 #: Rounds over all training text, distinct grams of a shard, and the weight of where a pass begins, in decisions.
 ROUNDS, SHARD_GRAMS, PRIOR = 3, 50_000, 16.0
@@ -182,13 +181,8 @@ class Tree:
 
 def slots(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     """The slot of each low order for decisions at `node` after the key's context."""
-    out = np.empty((len(key), LOW), np.int64)
-    context = key >> U64(9)
-    for k in range(LOW):
-        seen = context & U64((1 << (8 * k)) - 1)
-        h = mix((seen * U64(512) + node.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(k)) >> U64(64 - SLOT_BITS[k])
-        out[:, k] = h.astype(np.int64) + SLOT_START[k]
-    return out
+    last = (key >> U64(9)).astype(np.int64) & 255
+    return np.column_stack([node, SLOT_START[1] + (last << 9) + node])
 
 
 def decisions(tree: Tree, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,15 +220,25 @@ class Decisions:
     ones: np.ndarray
 
     @staticmethod
-    def of(tree: Tree, key: np.ndarray, n: np.ndarray, low: np.ndarray) -> Decisions:
-        """low: zeros and ones by slot; those of longer contexts are added up here, as the shard has all grams of its contexts."""
+    def of(tree: Tree, key: np.ndarray, n: np.ndarray, low: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Decisions:
+        """low: zeros and ones by slot. Those of longer contexts are added up here, as the shard has all grams of its contexts, but for
+        contexts of two bytes that it shares with other shards: `pairs` has these, sorted, and their counts by symbol."""
         parts = []
+        if pairs is not None:
+            symbol, depth = np.nonzero(tree.node >= 0)
+            below = np.zeros((2, len(tree.node), tree.node.max(initial=0) + 1))
+            below[tree.bit[symbol, depth], symbol, tree.node[symbol, depth]] = 1.0
+            by_node = [pairs[1].astype(float) @ b for b in below]  # zeros and ones of each pair's nodes
         for at, node, bit in decisions(tree, key):
             zeros, ones = np.empty((len(at), ORDERS)), np.empty((len(at), ORDERS))
             where = slots(key[at], node)
             zeros[:, :LOW], ones[:, :LOW] = low[0::2][where], low[1::2][where]
             for k in range(LOW, ORDERS):
                 context = key[at] >> U64(9) & U64((1 << (8 * k)) - 1)
+                if k == 2 and pairs is not None:
+                    place = np.searchsorted(pairs[0], context.astype(np.int64))
+                    zeros[:, k], ones[:, k] = by_node[0][place, node], by_node[1][place, node]
+                    continue
                 u, same = np.unique(context * U64(512) + node.astype(U64), return_inverse=True)
                 for bits, counts in ((0, zeros), (1, ones)):
                     counts[:, k] = np.bincount(same, n[at] * (bit == bits), minlength=len(u))[same]
@@ -352,11 +356,16 @@ def _score(total: int, distinct: int, learned_docs: int):
 RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
 
 
-def _shard_of_grams(table: pa.Table) -> pa.Table:
-    """A shard's grams in the order of a hash, and their numbers, as one row."""
-    key, n = table["gram"].to_numpy().view(U64), table["n"].to_numpy()
-    order = np.argsort(mix(key))
-    return pa.table({"grams": pa.array([key[order].tobytes()], pa.binary()), "ns": pa.array([n[order].tobytes()], pa.binary())})
+def _shard_of_grams(key: tuple[pa.Scalar, ...], table: pa.Table, pairs: pa.Table) -> pa.Table:
+    """A shard's grams in the order of a hash, their numbers, and its contexts of two bytes with their counts by symbol, as one row."""
+    gram, n = table["gram"].to_numpy().view(U64), table["n"].to_numpy()
+    order, at = np.argsort(mix(gram)), np.argsort(pairs["pair"].to_numpy())
+    counts = np.zeros((len(at), END + 1), np.int64)
+    for k, (symbols, ns) in enumerate(zip(pairs["symbols"].take(at).to_pylist(), pairs["ns"].take(at).to_pylist(), strict=True)):
+        counts[k, symbols] = ns
+    row = [gram[order], n[order], pairs["pair"].to_numpy()[at], counts]
+    some = row if len(gram) else []  # a shard that only counts were sent to
+    return pa.table({c: pa.array([x.tobytes()] if some else [], pa.binary()) for c, x in zip(("grams", "ns", "pairs", "counts"), row, strict=True)})
 
 
 def passed(mixer: Mixer, key: np.ndarray, n: np.ndarray, d: Decisions) -> np.ndarray:
@@ -375,7 +384,8 @@ def added(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _shards(batches: Iterator[pa.RecordBatch], tree: Tree, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Decisions]]:
     for row in _each(batches):
         key, n = np.frombuffer(row["grams"], U64), np.frombuffer(row["ns"], np.int64)
-        yield key, n, Decisions.of(tree, key, n, low)
+        pairs = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64).reshape(-1, END + 1)
+        yield key, n, Decisions.of(tree, key, n, low, pairs)
 
 
 def _round(low, tree: Tree, learned: tuple[np.ndarray, np.ndarray] | None):
@@ -416,13 +426,19 @@ def gram_costs(grams_table: DataFrame) -> DataFrame:
     counts = np.zeros(END + 1, np.int64)
     for r in symbols:
         counts[r.s] = r.n
-    tree, low = Tree.of(counts), np.zeros(2 * SLOT_START[-1], np.float32)
+    tree, low = Tree.of(counts), np.zeros(2 * SLOT_START[-1])
     cells = grams_table.filter("n > 0").mapInArrow(_slot_counts(tree), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     low[cells.cell.to_numpy()] = cells.n.to_numpy()
     sent, learned = grams_table.sparkSession.sparkContext.broadcast(low), None
     shards = max(1, -(-sum(r.distinct for r in symbols) // SHARD_GRAMS))
-    context = F.shiftright("gram", 9).bitwiseAND((1 << (8 * LOW)) - 1)  # a shard has all grams of its contexts of LOW bytes and more
-    dealt = cut(grams_table.groupBy(F.pmod(F.xxhash64(context), F.lit(shards)).alias("shard")).applyInArrow(_shard_of_grams, "grams binary, ns binary"))
+    pair, third = F.shiftright("gram", 9).bitwiseAND(0xFFFF), F.shiftright("gram", 25).bitwiseAND(0xFF)
+    after = grams_table.groupBy(pair.alias("pair"), symbol.alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
+    parts = F.ceil(F.sum("distinct") / SHARD_GRAMS).cast("int").alias("parts")
+    pairs = cut(after.groupBy("pair").agg(F.collect_list(F.col("s").cast("int")).alias("symbols"), F.collect_list("n").alias("ns"), parts))  # at most 65,536 rows
+    shard = lambda part: F.pmod(F.xxhash64("pair", part), F.lit(shards)).alias("shard")
+    own = pairs.select("pair", "symbols", "ns", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_k")).select(shard(F.col("_k")), "pair", "symbols", "ns").dropDuplicates(["shard", "pair"])
+    placed = grams_table.withColumn("pair", pair).join(F.broadcast(pairs.select("pair", "parts")), "pair").select(shard(F.pmod(F.xxhash64(third), F.col("parts")).cast("int")), "gram", "n")
+    dealt = cut(placed.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_shard_of_grams, "grams binary, ns binary, pairs binary, counts binary"))
     for _ in range(ROUNDS if counts.any() else 0):
         sums = np.zeros(GATES * (ORDERS + 1) * (ORDERS + 2) + 512 * CELLS)
         for r in dealt.mapInArrow(_round(sent, tree, learned), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
