@@ -133,15 +133,17 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> int
     return int(low)
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The middle of the widest gap between scores that divides good from bad with the fewest errors; minus infinity without both."""
-    if not len(good) or not len(bad):
+def best_cut(at: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The middle of the widest gap between scores that divides good from bad with the fewest errors; minus infinity without both.
+
+    `at` are distinct scores in order, with the numbers of good and bad ones of each.
+    """
+    n_good, n_bad = good.sum(), bad.sum()
+    if not n_good or not n_bad:
         return -np.inf
-    at = np.unique(np.concatenate([good, bad]))
-    good, bad = np.sort(good), np.sort(bad)
-    errors = np.searchsorted(good, at, "right") + len(bad) - np.searchsorted(bad, at, "right")  # cut just above at[k]
+    errors = np.cumsum(good) + n_bad - np.cumsum(bad)  # cut just above at[k]
     best = np.flatnonzero(errors[:-1] == errors[:-1].min()) if len(at) > 1 else np.zeros(0, np.int64)
-    if not len(best) or errors[:-1].min() >= min(len(good), len(bad)):
+    if not len(best) or errors[:-1].min() >= min(n_good, n_bad):
         return -np.inf
     k = best[np.argmax(at[best + 1] - at[best])]
     return float((at[k] + at[k + 1]) / 2)
@@ -171,8 +173,10 @@ class Classifier:
         none = np.zeros(BUCKETS)
         others = np.stack([log_ratio(target - f, raw) if (target - f).any() else none for f in folds])
         self.ratio = sc.broadcast((log_ratio(target, raw) if target.any() else none)[None])
-        seen = _score(sample, sc.broadcast(others), ["q"], "id", "text", seed, F.col("fold")).select("c0", "_weight").toPandas()
-        self.cut = best_cut(seen._weight[seen.c0 == 1].to_numpy(), seen._weight[seen.c0 == 0].to_numpy())
+        # a weight once with its numbers: copies of a text, under one id or many, are one row
+        seen = _score(sample, sc.broadcast(others), ["q"], "id", "text", seed, F.col("fold")).groupBy("_weight").agg(F.count_if(F.col("c0") == 1).alias("good"), F.count_if(F.col("c0") == 0).alias("bad"))
+        seen = seen.filter("good + bad > 0").orderBy("_weight").toPandas()
+        self.cut = best_cut(*(seen[c].to_numpy() for c in ("_weight", "good", "bad")))
         self.scored = cut(_score(docs, self.ratio, [id_col], id_col, text_col, seed).select("c0", "_weight", "_ngrams", "_rank"))
         self.k = self.scored.filter(F.col("_weight") >= F.lit(self.cut)).count()
         self.threshold = kth_largest(self.scored, "_rank", self.k)
