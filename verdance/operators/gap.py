@@ -20,7 +20,9 @@ def manifest(sites: DataFrame, acquisitions: DataFrame, gaps: tuple[int, ...] =
     """
     rule, mid = midpoint(F.col("green_up"), F.col("green_down"), F.col("season"))
     rows = sites.select("site", "season", rule.alias("midpoint_rule"), mid.alias("midpoint_date"))
-    held = series.nearest(rows.select("site", "season", "midpoint_date"), acquisitions, ["site"], ["site", "season"], "midpoint_date", 365)
+    reach = rows.groupBy("site").agg(F.date_sub(F.min("midpoint_date"), 365).alias("_a"), F.date_add(F.max("midpoint_date"), 365).alias("_b"))
+    near = acquisitions.join(reach, "site").filter(F.col("date").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")  # before anything is sorted
+    held = series.nearest(rows.select("site", "season", "midpoint_date"), near, ["site"], ["site", "season"], "midpoint_date", 365)
     held = held.select("site", "season", F.col("nearest_day").alias("withheld_date"), F.col("nearest_name").alias("withheld_filename"))
     each = rows.withColumn("gap_days", F.explode(F.array(*[F.lit(g) for g in gaps])))
     start, end = centred_window(F.col("midpoint_date"), F.col("gap_days"), F.col("season"))

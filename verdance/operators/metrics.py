@@ -69,18 +69,16 @@ def paired_residuals(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.groupBy(*keys, "strategy", "sigma").agg(of("bti").alias("mean_residual_bti"), of("itb").alias("mean_residual_itb"))
 
 
-def gap_deltas(gap: DataFrame, nogap: DataFrame, keys: list[str]) -> DataFrame:
-    """RMSE with the gap less without; NSE without less with: both positive when the gap hurts."""
-    b = nogap.select(*keys, F.col("rmse").alias("rmse_nogap"), F.col("nse").alias("nse_nogap"))
-    out = gap.join(b, keys)
-    return out.withColumn("delta_rmse", F.col("rmse") - F.col("rmse_nogap")).withColumn("delta_nse", F.col("nse_nogap") - F.col("nse"))
+def scenarios_of(rows: DataFrame) -> DataFrame:
+    """Every row once for each strategy, sigma and mode, with the scenario's key as reports name it."""
+    each = lambda name, *values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    grid = rows.select("*", each("strategy", "aggressive", "nonaggressive")).select("*", each("sigma", 20, 30)).select("*", each("mode", "bti", "itb"))
+    return grid.withColumn("scenario", scenario_key(F.col("strategy"), F.col("sigma"), F.col("mode")))
 
 
 def scenarios(spark) -> DataFrame:
-    """The grid of strategies, sigmas and modes, with keys as reports name them."""
-    each = lambda name, *values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    grid = spark.range(1).select(each("strategy", "aggressive", "nonaggressive")).select("*", each("sigma", 20, 30)).select("*", each("mode", "bti", "itb"))
-    return grid.withColumn("scenario", scenario_key(F.col("strategy"), F.col("sigma"), F.col("mode")))
+    """The grid of strategies, sigmas and modes."""
+    return scenarios_of(spark.range(1)).drop("id")
 
 
 def scenario_key(strategy: Column, sigma: Column, mode: Column) -> Column:

@@ -29,23 +29,21 @@ def season(rows: DataFrame, keys: list[str], day: str = "day", value: str = "val
     """Per key: base (mean of the least fitted values before and after the peak), peak, threshold and the days of start and end.
 
     The start is the first upward crossing of the threshold at or before the peak, the end the last downward one at or after it,
-    linear between days; null where the profile does not cross. The earliest of equal peaks counts.
+    linear between days; null where the profile does not cross. The earliest of equal peaks counts. All steps are windows over a
+    key, which share one exchange; the last aggregation needs none.
     """
-    fitted = smooth(rows, keys, day, value)
-    peak = fitted.groupBy(*keys).agg(F.max("fitted").alias("peak"), F.min_by(day, F.struct(-F.col("fitted"), F.col(day))).alias("peak_day"))
-    joined = fitted.join(peak, keys)
+    key, line = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(day)
+    out = smooth(rows, keys, day, value)
+    out = out.withColumn("_before", F.lag("fitted").over(line)).withColumn("_day", F.lag(day).over(line))
+    out = out.withColumn("peak", F.max("fitted").over(key)).withColumn("peak_day", F.min_by(day, F.struct(-F.col("fitted"), F.col(day))).over(key))
     left, right = F.col(day) <= F.col("peak_day"), F.col(day) >= F.col("peak_day")
-    lows = joined.groupBy(*keys).agg(F.min(F.when(left, F.col("fitted"))).alias("_l"), F.min(F.when(right, F.col("fitted"))).alias("_r"))
-    base = (F.col("_l") + F.col("_r")) / 2
-    levels = lows.select(*keys, base.alias("base"))
-    w = Window.partitionBy(*keys).orderBy(day)
-    steps = joined.join(levels, keys).withColumn("threshold", F.col("base") + cutoff * (F.col("peak") - F.col("base")))
-    steps = steps.withColumn("_before", F.lag("fitted").over(w)).withColumn("_day", F.lag(day).over(w))
+    out = out.withColumn("_l", F.min(F.when(left, F.col("fitted"))).over(key)).withColumn("_r", F.min(F.when(right, F.col("fitted"))).over(key))
+    out = out.withColumn("base", (F.col("_l") + F.col("_r")) / 2).withColumn("threshold", F.col("base") + cutoff * (F.col("peak") - F.col("base")))
     t = F.col("threshold")
     at = F.col("_day") + F.try_divide(t - F.col("_before"), F.col("fitted") - F.col("_before")) * (F.col(day) - F.col("_day"))
-    up = F.when((F.col("_before") < t) & (F.col("fitted") >= t) & (F.col(day) <= F.col("peak_day")), at)
+    up = F.when((F.col("_before") < t) & (F.col("fitted") >= t) & left, at)
     down = F.when((F.col("_before") >= t) & (F.col("fitted") < t) & (F.col("_day") >= F.col("peak_day")), at)
-    return steps.groupBy(*keys).agg(F.first("base").alias("base"), F.first("peak").alias("peak"), F.first("peak_day").alias("peak_day"), F.first("threshold").alias("threshold"), F.min(up).alias("start"), F.max(down).alias("end"))
+    return out.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("base", "peak", "peak_day", "threshold")], F.min(up).alias("start"), F.max(down).alias("end"))
 
 
 def midpoint(green_up: Column, green_down: Column, year: Column) -> tuple[Column, Column]:

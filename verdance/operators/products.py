@@ -218,11 +218,12 @@ def scenario_series(fused: DataFrame, row: Column, col: Column, keys: tuple[str,
     return near.groupBy(*keys, "scenario", "date").agg(F.avg(ndvi(F.col("b04"), F.col("b8a"))).alias("ndvi"), F.avg("greenness_index").alias("greenness_index"), *means)
 
 
-def gap_experiment(entries: DataFrame, fine: DataFrame, coarse: DataFrame, sigma: int = 20, mask: str = "withheld_day") -> DataFrame:
+def gap_experiment(entries: DataFrame, fine: DataFrame, coarse: DataFrame, sigma: int = 20, mask: str = "withheld_day", truth: DataFrame | None = None) -> DataFrame:
     """Every entry of a manifest with the scores of fusing its prediction day without its withheld acquisition, and with it.
 
     entries as of gap.manifest; fine(site, row, col, date, value, distance) and coarse(site, row, col, date, value) on one grid.
-    Truth is the withheld acquisition. Only days in reach of a prediction meet its entry. Entries without scores tell why.
+    Truth is the withheld acquisition, or where given truth(site, row, col, date, truth), as truth_on_grid makes it of scenes on a
+    grid of their own. Only days in reach of a prediction meet its entry. Entries without scores tell why.
     """
     keys = ["site", "season", "gap_days"]
     wanted = entries.filter("withheld_date is not null").select(*keys, "withheld_date", "window_start", "window_end", "prediction_date")
@@ -233,5 +234,6 @@ def gap_experiment(entries: DataFrame, fine: DataFrame, coarse: DataFrame, sigma
     targets = wanted.select(*keys, F.col("prediction_date").alias("date"), F.lit(sigma).alias("sigma"))
     fused = fusion.fuse_layers(full.withColumn("_gone", gone), low, targets, keys, ["value"], {"gap": ~F.col("_gone"), "nogap": F.lit(True)})
     pair = fused.groupBy(*keys, "row", "col").agg(*[F.max(F.when(F.col("run") == r, F.col("value"))).alias(r) for r in ("gap", "nogap")])
-    truth = fine.join(wanted.select(*keys, F.col("withheld_date").alias("date")), ["site", "date"]).select(*keys, "row", "col", F.col("value").alias("truth"))
+    truth = fine.withColumn("truth", F.col("value")) if truth is None else truth
+    truth = truth.join(wanted.select(*keys, F.col("withheld_date").alias("date")), ["site", "date"]).select(*keys, "row", "col", "truth")
     return gap.results(entries, gap.evaluate(pair.join(truth, [*keys, "row", "col"]), keys), keys)

@@ -25,11 +25,6 @@ def baseline_order(rows: DataFrame, column: str = "baseline") -> DataFrame:
     return rows.withColumn("order_key", order)
 
 
-def phenology_table(sites: DataFrame, phenology: DataFrame) -> DataFrame:
-    """All site-seasons, with their dates where known."""
-    return sites.join(phenology, ["site", "season"], "left")
-
-
 def plotted(rows: DataFrame, keys: list[str], value: str, current: Column, width: float, height: float, pad: float = 30.0, day: str = "date") -> DataFrame:
     """Points of a series in the plot's coordinates, the ranges shown at its axis, and the point nearest the current day marked.
 

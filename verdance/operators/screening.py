@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indices import DARK_BLUE, ndvi, positive
+from .raster import pixel_of, to_utm
 
 WINDOW_DAYS, LEAST_NEIGHBOURS = 14, 3
 #: strategy: (absolute NDVI threshold, allowed drop below the window's maximum); fixed values.
@@ -70,3 +71,18 @@ def site_gcc(pixels: DataFrame, scene: list[str], row: Column, col: Column) -> D
 
     near = pixels.filter(F.col("row").between(row - 1, row + 1) & F.col("col").between(col - 1, col + 1))
     return near.groupBy(*scene).agg(F.avg(gcc(F.col("b02"), F.col("b03"), F.col("b04"))).alias("greenness_index"))
+
+
+def screened(pixels: DataFrame, sites: DataFrame, grids: DataFrame, limit: Column | float, keys: tuple[str, ...] = ("site", "source"), zone: int = 32) -> DataFrame:
+    """Screening from rasters to flags: the 3 x 3 sample about the site of every scene, its index and its exclusion by all strategies.
+
+    pixels(keys, date, filename, row, col, bands); sites(site, lon, lat) and grids(site, x0, y0, dx, dy) of the zone. Scenes whose
+    grid lacks the site have no row, scenes without a valid pixel there are excluded.
+    """
+    east, north = to_utm(F.col("lon"), F.col("lat"), zone)
+    at = sites.join(grids, "site")
+    row, col = pixel_of(east, north, *[F.col(c) for c in ("x0", "y0", "dx", "dy")])
+    at = at.select("site", row.alias("_row"), col.alias("_col"))
+    scene = [*keys, "date", "filename"]
+    sampled = site_sample(pixels.join(at, "site"), scene, F.col("_row"), F.col("_col"))
+    return flag_exclusions(sampled.withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date"))), limit, keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def dedupe(rows: DataFrame, keys: list[str], value: str, position: str, policy: str) -> DataFrame:
     """One value per key: the first or last by position, nulls included, or the first that is not null (first_valid)."""
@@ -85,6 +87,21 @@ def day_counts(rows: DataFrame, keys: list[str], day: str = "date") -> DataFrame
     return rows.groupBy(*keys, day).agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """rows in order over all partitions and within them, numbered from 0: what a listing sorted by day or by name is.
+
+    One range sort; the rows before a partition are the sum of the sizes of those before it, one number a partition. The sorted
+    rows are checkpointed, as ranges are sampled and must not be drawn twice.
+    """
+    held = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = held.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_p", before.alias("_s")))  # one row a partition
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(starts, part == F.col("_p")).withColumn(name, F.col("_s") + place).drop("_m", "_p", "_s")
+
+
 def increments(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows numbered from 0 within their keys."""
     return rows.withColumn("increment", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

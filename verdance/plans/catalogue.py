@@ -97,7 +97,7 @@ def _scored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = spark.createDataFrame(rows, "series string, strategy string, sigma int, mode string")
     scored = metrics.temporal_metrics(_pairs(spark, sf_dir), ["scenario"]).withColumnRenamed("scenario", "series")
     grid = metrics.scenarios(spark).join(named, ["strategy", "sigma", "mode"], "left")
-    return grid.join(F.broadcast(scored), "series", "left")
+    return grid.join(scored, "series", "left")
 
 
 _GRID = [b.SER_USER, PAIRS, f"m AS (SELECT scenario, {BUNDLE} FROM pairs GROUP BY scenario HAVING count(*) >= 2)", GRID,
@@ -115,9 +115,10 @@ def paired_residual(spark, sf_dir):
     return metrics.paired_residuals(_scored_grid(spark, sf_dir), [])
 
 
-@query("SELECT s.strategy, CAST(g.sigma AS INT) AS sigma, o.mode, s.strategy || '_sigma' || g.sigma || CASE WHEN o.mode = 'itb' THEN '_itb' ELSE '' END AS scenario FROM (VALUES ('aggressive'), ('nonaggressive')) s(strategy), (VALUES (20), (30)) g(sigma), (VALUES ('bti'), ('itb')) o(mode)")
+@query("SELECT s_suppkey AS site, s.strategy, CAST(g.sigma AS INT) AS sigma, o.mode, s.strategy || '_sigma' || g.sigma || CASE WHEN o.mode = 'itb' THEN '_itb' ELSE '' END AS scenario FROM supplier, (VALUES ('aggressive'), ('nonaggressive')) s(strategy), (VALUES (20), (30)) g(sigma), (VALUES ('bti'), ('itb')) o(mode)")
 def scenario_grid(spark, sf_dir):
-    return metrics.scenarios(spark)
+    """All scenarios of every site."""
+    return metrics.scenarios_of(b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")))
 
 
 @query(sql([b.SER_USER, PAIRS, f"m AS (SELECT scenario, {BUNDLE} FROM pairs GROUP BY scenario HAVING count(*) >= 2)"],

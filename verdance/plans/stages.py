@@ -81,9 +81,11 @@ def bbox_window(spark, sf_dir):
     return b.table(spark, sf_dir, "supplier").select("s_suppkey", *[c.alias(n) for c, n in zip(found, ("row", "col", "height", "width"), strict=True)])
 
 
-@query("SELECT 'prepared_' || s.strategy || CASE WHEN o.mode = 'itb' THEN '_itb' ELSE '' END || '/fusion' || CASE WHEN g.sigma <> 20 THEN '_sigma' || g.sigma ELSE '' END AS path FROM (VALUES ('aggressive'), ('nonaggressive')) s(strategy), (VALUES (20), (30)) g(sigma), (VALUES ('bti'), ('itb')) o(mode)")
+@query("SELECT s_suppkey AS site, 'prepared_' || s.strategy || CASE WHEN o.mode = 'itb' THEN '_itb' ELSE '' END || '/fusion' || CASE WHEN g.sigma <> 20 THEN '_sigma' || g.sigma ELSE '' END AS path FROM supplier, (VALUES ('aggressive'), ('nonaggressive')) s(strategy), (VALUES (20), (30)) g(sigma), (VALUES ('bti'), ('itb')) o(mode)")
 def product_paths(spark, sf_dir):
-    return metrics.scenarios(spark).select(writers.product_path(F.lit("fusion"), F.col("strategy"), F.col("mode"), F.col("sigma")).alias("path"))
+    """The fusion folders of every site."""
+    rows = metrics.scenarios_of(b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")))
+    return rows.select("site", writers.product_path(F.lit("fusion"), F.col("strategy"), F.col("mode"), F.col("sigma")).alias("path"))
 
 
 @query("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1996 + o_orderkey % 3 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")

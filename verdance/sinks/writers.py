@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of the export and their order, and the names of the season's dates (fixed values).
 EXPORT = ("date", "filename", "ndvi", "greenness_index", "b02", "b03", "b04", "b8a")
+SEASON_DATES = ("green_up_50pct_date", "green_down_50pct_date")
 
 
 def records_json(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -51,3 +53,22 @@ def product_path(product: Column, strategy: Column, mode: Column, sigma: Column)
 def tiles(rows: DataFrame, path: str) -> None:
     """Raster tiles with their header and tags, by site and season."""
     rows.write.mode("overwrite").partitionBy("site", "season").option("compression", "zstd").parquet(path)
+
+
+def sidecar(seasons: DataFrame, name: str = "document") -> DataFrame:
+    """One JSON text per site and season with its two dates, null where they are not known; seasons(site, season, green_up, green_down)."""
+    record = F.struct(F.col("green_up").alias(SEASON_DATES[0]), F.col("green_down").alias(SEASON_DATES[1]))
+    return seasons.select("site", "season", F.to_json(record, {"ignoreNullFields": "false"}).alias(name))
+
+
+def run_summary(results: DataFrame, crossover: DataFrame, scenario: str, command_line: list[str], revision: str | None = None, name: str = "document") -> DataFrame:
+    """One JSON text per site and season of a validation run: how it was made, its entries by gap with their scores or errors, and the crossover.
+
+    results as of gap.results; crossover(site, season, crossover_days). Entries without scores stay, with the reason.
+    """
+    keys = ["site", "season"]
+    fields = [c for c in results.columns if c not in keys]
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("gap_days", F.struct(*fields).alias("_e")))), lambda x: x["_e"]).alias("results")
+    made = [F.lit(scenario).alias("scenario"), F.array(*[F.lit(a) for a in command_line]).alias("command_line"), F.lit(revision).cast("string").alias("revision")]
+    out = results.groupBy(*keys).agg(listed).join(crossover.select(*keys, "crossover_days"), keys, "left")
+    return out.select(*keys, F.to_json(F.struct(*keys, *made, "results", "crossover_days"), {"ignoreNullFields": "false"}).alias(name))

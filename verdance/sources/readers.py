@@ -181,3 +181,9 @@ def unseen(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
 
 def available(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(present.select(*keys).distinct(), keys, "left_semi")
+
+
+def site_by_name(rows: DataFrame, sites: DataFrame, name: str = "name", position: str = "position") -> DataFrame:
+    """rows with the site of their name: the first of equally named sites in their listing; rows of unknown names go."""
+    first = sites.groupBy(name).agg(F.min_by("site", position).alias("site"))
+    return rows.join(first, name)
