@@ -7,17 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import products, raster, series
+from ..operators import phenology, products, raster, screening, series
 from ..operators.run import Run
 from ..session import shared_folder
+from ..sinks import writers
 from ..sinks.versions import Store
-from ..sources import tiles
+from ..sources import readers, tiles
 from . import bindings as b
 from .catalogue import _WHITTAKER, BUNDLE, DAYS_OF, query, r6, sql
 from .products import _DOWN, _NAMED, _excluded, _named
-from .stages import _GCC, _SCENARIOS, _SOUND, _one
+from .stages import _GCC, _SCENARIOS, _SOUND, _STACK, _one, _stack_day
 
-DAYS_OF |= {"site_metrics": ("first_day", "last_day"), "nearest_in_season": ("target", "nearest_day"), **dict.fromkeys(("cropped_scenarios", "smoothed_baselines", "grown_composites"), ("date",))}
+DAYS_OF |= {"site_metrics": ("first_day", "last_day"), "nearest_in_season": ("target", "nearest_day"), **dict.fromkeys(("cropped_scenarios", "smoothed_baselines", "grown_composites", "screened_scenes", "ordered_listing"), ("date",))}
 
 
 def _run(spark: SparkSession, sf_dir: str) -> Run:
@@ -111,3 +112,50 @@ def nearest_in_season(spark, sf_dir):
     targets = b.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("site"), (1995 + F.col("o_orderkey") % 5).cast("int").alias("season"), F.col("o_orderdate").cast("date").alias("target")).distinct()
     have = b.acq(spark, sf_dir).filter("site < 10").select("site", F.when(F.col("source") == "O", "fine").otherwise("coarse").alias("kind"), "date", "filename")
     return series.nearest_in_season(targets, have, ["site"], ["fine", "coarse"])
+
+
+# -- from rasters to screening, ordered listings, small lookups and documents
+
+_SAMPLED = f"""sampled AS (
+  SELECT site, CASE WHEN scene % 3 = 0 THEN 'F' ELSE 'O' END AS source, date, 'scene' || lpad(CAST(scene AS VARCHAR), 9, '0') AS filename, CAST(date - DATE '1970-01-01' AS INT) AS day,
+    avg(CASE WHEN {_SOUND} THEN (b8a - b04) / (b8a + b04) END) AS ndvi, {", ".join(f"avg(CASE WHEN {_SOUND} THEN {x} END) AS {x}" for x in raster.BANDS)} FROM bright WHERE {_NEAR} GROUP BY site, scene, date),
+framed AS (SELECT *, count(ndvi) OVER w AS neighbours, max(ndvi) OVER w AS window_max FROM sampled WINDOW w AS (PARTITION BY site, source ORDER BY day RANGE BETWEEN 14 PRECEDING AND 14 FOLLOWING)),
+flagged AS (SELECT *, CASE WHEN ndvi IS NULL OR b02 < 0.55 THEN true WHEN neighbours < 3 THEN false ELSE ndvi < window_max - 0.15 AND ndvi < 0.3 END AS excluded_aggressive,
+  CASE WHEN ndvi IS NULL OR b02 < 0.55 THEN true WHEN neighbours < 3 THEN false ELSE ndvi < window_max - 0.25 AND ndvi < 0.2 END AS excluded_nonaggressive FROM framed)"""
+
+
+@query(sql([b.PX, b.BRIGHT, _SAMPLED], "SELECT site, source, date, filename, " + r6("ndvi", *raster.BANDS) + ", excluded_aggressive, excluded_nonaggressive FROM flagged"))
+def screened_scenes(spark, sf_dir):
+    """Acquisition tables made from rasters: a site's pixel from its position, the sample about it, and the flags."""
+    name = F.concat(F.lit("scene"), F.lpad(F.col("scene").cast("string"), 9, "0"))
+    rows = b.bright(b.px(spark, sf_dir)).select("site", F.when(F.col("scene") % 3 == 0, "F").otherwise("O").alias("source"), "date", name.alias("filename"), "row", "col", *raster.BANDS)
+    sites = b.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("site")).distinct()
+    at = sites.select("site", F.lit(9.0).alias("lon"), F.lit(51.4).alias("lat"))
+    grids = sites.select("site", F.lit(499_975.0).alias("x0"), F.lit(5_694_322.9).alias("y0"), F.lit(10.0).alias("dx"), F.lit(10.0).alias("dy"))  # the position is in its second row, third column
+    found = screening.screened(rows, at, grids, 0.55)
+    return found.select("site", "source", "date", "filename", "ndvi", *raster.BANDS, "excluded_aggressive", "excluded_nonaggressive")
+
+
+@query(sql([b.ACQ], "SELECT pos, site, date, filename, row_number() OVER (ORDER BY date, filename, pos) - 1 AS position FROM acq"))
+def ordered_listing(spark, sf_dir):
+    """All acquisitions by day, then name: sorted over partitions, with the place of each."""
+    return series.numbered(b.acq(spark, sf_dir).select("pos", "site", "date", "filename"), ["date", "filename", "pos"])
+
+
+@query("WITH s AS (SELECT n_name AS name, arg_min(n_nationkey, n_nationkey) AS site FROM nation GROUP BY 1) SELECT c_custkey, name, site FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'nowhere' ELSE n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey) JOIN s USING (name)")
+def site_by_name(spark, sf_dir):
+    nations = b.table(spark, sf_dir, "nation")
+    named = b.table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = named.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "nowhere").otherwise(F.col("n_name")).alias("name"))
+    sites = nations.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("site"), F.col("n_nationkey").alias("position"))
+    return readers.site_by_name(rows, sites)
+
+
+_TEXT = "CASE WHEN {0} IS NULL THEN 'null' ELSE '\"' || strftime({0}, '%Y-%m-%d') || '\"' END"
+
+
+@query(sql([*_STACK, "found AS (SELECT scenario AS site, season, " + f"{_stack_day('up')} AS green_up, {_stack_day('down')} AS green_down FROM hits)"], "SELECT site, season, '{\"green_up_50pct_date\":' || " + _TEXT.format("green_up") + " || ',\"green_down_50pct_date\":' || " + _TEXT.format("green_down") + " || '}' AS document FROM found"))
+def phenology_sidecars(spark, sf_dir):
+    """The documents beside the ground truth of every site and season that it tells."""
+    truth = b.ser_long(spark, sf_dir).select(F.col("scenario").alias("site"), "date", "value")
+    return writers.sidecar(phenology.season_of_three_years(truth, ["site"]))
