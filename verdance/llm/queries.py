@@ -55,6 +55,12 @@ def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), remainder == 2, remainder != 2)
 
 
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_context_mixing that SQL can express."""
+    out = op8_context_mixing(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), rule="start")
 
@@ -82,6 +88,7 @@ def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_host_suffix_array": op3_host_suffix_array,
     "op8_context_mixing": op8_context_mixing,
+    "base_scores": base_scores,
     "op7_importance_resampling": op7_importance_resampling,
     "op2_langid": op2_langid,
     "op9_tokens": op9_tokens,
@@ -129,6 +136,15 @@ often AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GRO
 flagged AS (SELECT k.doc_id, k.i, k.line, o.key IS NOT NULL AND k.doc_id <> o.last AS gone FROM keyed k LEFT JOIN often o ON o.key = k.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id""",
+    "base_scores": rf"""
+WITH docs AS (SELECT doc_id, {_CRC32} % 7 = 2 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+token AS (SELECT doc_id, held_out, unnest(w) AS x FROM docs),
+counted AS (SELECT x, count(*) AS c FROM token WHERE NOT held_out GROUP BY x),
+ends AS (SELECT count(*) AS c FROM docs WHERE NOT held_out),
+total AS (SELECT CAST((SELECT coalesce(sum(c), 0) FROM counted) + c AS BIGINT) AS n, (SELECT count(*) FROM counted) + CASE WHEN c > 0 THEN 1 ELSE 0 END AS v, c FROM ends),
+sums AS (SELECT doc_id, sum(log10(coalesce(c, 0) + 1)) AS s, count(c) AS known FROM token LEFT JOIN counted USING (x) GROUP BY doc_id)
+SELECT doc_id, held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(known, 0) + CASE WHEN c > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_known, n AS train_tokens, round(coalesce(s, 0) + log10(c + 1) - (len(w) + 1) * log10(n + v + 1), 6) AS base_score
+FROM docs LEFT JOIN sums USING (doc_id), total""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE hashed AS (
   SELECT doc_id, source, {_LEAF('text')} AS leaf, {_LEAF(f"CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END").replace("CAST(CASE", "CAST((CASE").replace("END AS VARCHAR", "END) AS VARCHAR")} AS now FROM documents),
