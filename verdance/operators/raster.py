@@ -24,6 +24,13 @@ def explode_tiles(tiles: DataFrame, keys: list[str], array: str, width: int | Co
     return places.select(*keys, F.floor(F.col("_p") / width).cast("int").alias("row"), (F.col("_p") % width).cast("int").alias("col"), *[F.get(F.col(array), F.col("_p") + k * size).cast("double").alias(b) for k, b in enumerate(bands)])
 
 
+def stack(pixels: DataFrame, keys: list[str], bands: tuple[str, ...] = BANDS, array: str = "bands") -> DataFrame:
+    """One tile per scene of its pixels, the inverse of explode_tiles: one band after another, row by row; a tile is one row's array."""
+    listed = F.sort_array(F.collect_list(F.struct("row", "col", F.struct(*bands).alias("_v"))))
+    held = pixels.groupBy(*keys).agg(listed.alias("_l")).select(*keys, F.col("_l._v").alias("_v"))
+    return held.select(*keys, F.flatten(F.array(*[F.col(f"_v.{b}") for b in bands])).alias(array))
+
+
 def composite(acquisitions: DataFrame, keys: list[str], bands: tuple[str, ...] = BANDS, acquisition: str = "acquisition") -> DataFrame:
     """Same-day mean of each pixel over acquisitions. With several a day, pixels whose mean over bands is 5 or more in size don't count; a single one passes as it is."""
     level = F.abs(sum((F.col(b) for b in bands[1:]), F.col(bands[0])) / len(bands))

@@ -602,6 +602,7 @@ def bbox_and_pixel(spark, sf_dir):
     return b.table(spark, sf_dir, "supplier").select("s_suppkey", *[c.alias(n) for c, n in zip(raster.bbox(lon, lat, 0.011), ("west", "south", "east", "north"), strict=True)], row.alias("row"), col.alias("col"))
 
 
+from . import files as _files  # noqa: E402, F401
 from . import grids as _grids  # noqa: E402, F401  (these register their queries beside the ones above)
 from . import products as _products  # noqa: E402, F401
 from . import stages as _stages  # noqa: E402, F401

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import filename_date, increment
 from ..functions.indices import truth_value
+from ..operators.series import numbered
 
 SERIES = "date string, filename string, ndvi double, greenness_index double, b02 double, b03 double, b04 double, b8a double"
 SITES = (
@@ -187,3 +188,9 @@ def site_by_name(rows: DataFrame, sites: DataFrame, name: str = "name", position
     """rows with the site of their name: the first of equally named sites in their listing; rows of unknown names go."""
     first = sites.groupBy(name).agg(F.min_by("site", position).alias("site"))
     return rows.join(first, name)
+
+
+def scene_dates(files: DataFrame, name: str = "filename") -> DataFrame:
+    """Names of prepared reflectance scenes with their days, each once, numbered by day, then name; other files are passed over."""
+    day = F.to_date(F.nullif(F.regexp_extract(name, r"(?i)_(\d{8})_REFL\.tif$", 1), F.lit("")), "yyyyMMdd")
+    return numbered(files.select(day.alias("date"), name).filter("date is not null").distinct(), ["date", name])
