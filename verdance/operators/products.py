@@ -27,16 +27,17 @@ def prepare_fine(tiles: DataFrame, excluded: DataFrame | None, grids: DataFrame,
     tiles(keys, filename, array) hold digital numbers, one band after another, row by row, on their site's grid; grids and coarse
     are those grids and the coarse ones (see warp), by all keys but the day. The result is on the coarse bounds, `ratio` times as
     fine. A coarse cell is clear where all its fine pixels hold a value, so cells beyond the scene are not. Distances are in
-    coarse cells; null where a scene has no cloud.
+    coarse cells; null where a scene has no cloud. The names chosen and the warped pixels are checkpointed, as two parts read them.
     """
     place, scene = list(keys[:-1]), [*keys, "filename"]
-    chosen = tiles.join(day_scenes(tiles, excluded, keys), scene, "left_semi").join(grids.select(*place, "height", "width"), place)
+    names = cut(day_scenes(tiles, excluded, keys))
+    chosen = tiles.join(names, scene, "left_semi").join(grids.select(*place, "height", "width"), place)
     pixels = raster.explode_tiles(chosen, scene, array, F.col("width"), F.col("height"), bands)
     target = warp.refined(coarse, ratio)
-    read = warp.warp(pixels.select(*scene, "row", "col", *[reflectance(F.col(b)).alias(b) for b in bands]), grids, target, place, scene, list(bands))
+    read = cut(warp.warp(pixels.select(*scene, "row", "col", *[reflectance(F.col(b)).alias(b) for b in bands]), grids, target, place, scene, list(bands)))
     cell = [F.floor(F.col(c) / ratio).cast("int") for c in ("row", "col")]
     seen = read.groupBy(*scene, cell[0].alias("row"), cell[1].alias("col")).agg(F.count_if(raster.valid(bands)).alias("_n"))
-    every = chosen.select(*scene).join(coarse.select(*place, "height", "width"), place)
+    every = names.join(coarse.select(*place, "height", "width"), place)
     every = every.select(*scene, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select(*scene, "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
     clear = every.join(seen, [*scene, "row", "col"], "left").select(*scene, "row", "col", (F.coalesce("_n", F.lit(0)) == ratio * ratio).alias("clear"))
     found = raster.rescale_distance(raster.cloud_distance(clear, scene, "clear"), scene)
@@ -225,7 +226,7 @@ def gap_experiment(entries: DataFrame, fine: DataFrame, coarse: DataFrame, sigma
     Truth is the withheld acquisition, or where given truth(site, row, col, date, truth), as truth_on_grid makes it of scenes on a
     grid of their own. Only days in reach of a prediction meet its entry. Entries without scores tell why.
     """
-    keys = ["site", "season", "gap_days"]
+    keys, entries = ["site", "season", "gap_days"], cut(entries)  # small, and read by every part
     wanted = entries.filter("withheld_date is not null").select(*keys, "withheld_date", "window_start", "window_end", "prediction_date")
     near = F.abs(F.datediff("date", "prediction_date")) <= fusion.MAX_DAYS
     full = fine.join(wanted, "site").filter(near)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import products, raster, warp
+from ..session import cut
 from . import bindings as b
 from .catalogue import DAYS_OF, query, r6, sql
 
@@ -20,6 +21,7 @@ _COARSE = {"zone": (32, 0), "x0": (500_004.0, 208_644.0), "y0": (5_699_997.0, -1
 
 def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sites = b.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("site")).distinct()
+    sites = cut(sites)  # two rows, read many times
     of = lambda g: sites.select("site", *[(F.lit(x) + F.col("site") * y).cast("int" if isinstance(x, int) else "double").alias(c) for c, (x, y) in g.items()])
     return of(_FINE), of(_COARSE)
 
