@@ -136,10 +136,10 @@ def screened_scenes(spark, sf_dir):
     return found.select("site", "source", "date", "filename", "ndvi", *raster.BANDS, "excluded_aggressive", "excluded_nonaggressive")
 
 
-@query(sql([b.ACQ], "SELECT pos, site, date, filename, row_number() OVER (ORDER BY date, filename, pos) - 1 AS position FROM acq"))
+@query(sql([b.ACQ], "SELECT pos, site, date, filename, row_number() OVER (ORDER BY date, filename, pos, site) - 1 AS position FROM acq"))
 def ordered_listing(spark, sf_dir):
     """All acquisitions by day, then name: sorted over partitions, with the place of each."""
-    return series.numbered(b.acq(spark, sf_dir).select("pos", "site", "date", "filename"), ["date", "filename", "pos"])
+    return series.numbered(b.acq(spark, sf_dir).select("pos", "site", "date", "filename"), ["date", "filename", "pos", "site"])
 
 
 @query("WITH s AS (SELECT n_name AS name, arg_min(n_nationkey, n_nationkey) AS site FROM nation GROUP BY 1) SELECT c_custkey, name, site FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'nowhere' ELSE n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey) JOIN s USING (name)")
