@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ARITY = 3
-#: Levels of a block of proofs, and by how many levels the frontier's blocks grow; a block has at most 3^7 and 3^9 nodes.
-PROOF_LEVELS, FRONTIER_LEVELS = 7, 9
+#: Levels of a block of proofs, and by how many levels the frontier's blocks grow; a block has at most 3^7 nodes of its lowest level.
+PROOF_LEVELS, FRONTIER_LEVELS = 7, 7
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _NODE = "g long, n long, level int, idx long, digest string"
