@@ -93,11 +93,11 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
+    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-@pytest.mark.parametrize("name", ["op1_cross_polytope", "op4_fmindex", "op5_minhash", "op6_curriculum", "op10_secrets"])
+@pytest.mark.parametrize("name", ["op1_cross_polytope", "op4_fmindex", "op5_minhash", "op6_curriculum", "op10_secrets", "op11_line_runs", "op12_merkle_manifest", "base_scores"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
