@@ -318,7 +318,7 @@ class Mixer:
         return np.bincount(d.at, np.log10(np.where(d.bit == 1, p, 1 - p)), minlength=len(key))
 
 
-def _score(total: int, distinct: int, learned_docs: int):
+def _score(total: int, distinct: int, learned_docs: int, model: bool = True):
     floor = np.log10(total + 1.0 * (distinct + 1))
 
     def run(key, answers: pa.Table, chunks: pa.Table) -> pa.Table:
@@ -341,19 +341,20 @@ def _score(total: int, distinct: int, learned_docs: int):
                 base[lo:hi] += np.bincount(of, np.log10(n + 1.0), minlength=hi - lo)
                 known[lo:hi] += np.bincount(of[n > 0], minlength=hi - lo)
                 tokens[lo:hi] += np.diff(first)
-                gram, at = grams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                score[lo:hi] = np.add.reduceat(cost_of(gram), at[:-1])
+                if model:
+                    gram, at = grams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                    score[lo:hi] = np.add.reduceat(cost_of(gram), at[:-1])
             out.append(pa.table({
                 "doc_id": pa.array(ids, mask=named == 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base - tokens * floor), "score": pa.array(score),
-                "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(offs) + 1)),
-            }))
-        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in RESULT})
+                "train_tokens": pa.array(np.full(len(ids), total), pa.int64()), "base_score": pa.array(base - tokens * floor),
+            } | ({"score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(offs) + 1))} if model else {})))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in RESULT + OF_MODEL * model})
 
     return run
 
 
-RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
+RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64())]
+OF_MODEL = [("score", pa.float64()), ("bits_per_byte", pa.float64())]
 
 
 def _shard_of_grams(key: tuple[pa.Scalar, ...], table: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -447,14 +448,15 @@ def gram_costs(grams_table: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_costs(sent, tree, learned), "gram long, cost double")
 
 
-def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
+def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc_id", text_col: str = "text", model: bool = True) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte; the last two only with `model`.
 
     Tokens are non-space words of the lower-cased text and one end. base_score sums log10((c+1)/(N+V+1)) over them, with c a
     token's count, N all tokens and V the distinct ones of the rows where `learned` is true. score is the mixing model's log10
     probability of the text. Null texts count as empty: one token, the end. Null flags are false; ids may be null or repeat,
     and are long or cast to it (an id that is no number fails as any cast does). Texts of any length are scored whole; other
-    columns are ignored. An empty table gives no rows; without a learned row every decision is even.
+    columns are ignored. An empty table gives no rows; without a learned row every decision is even. The first six columns need
+    words only: without `model` no grams are counted and nothing is learned from them, while these columns come the same way.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), learned.alias("learned"), F.col(text_col).alias("text"))
     chunks = cut(rows.mapInArrow(_chunk, "chunk long, ids binary, named binary, flags binary, sizes binary, bytes long, texts binary"))
@@ -462,10 +464,12 @@ def score(docs: DataFrame, held_out: Column, learned: Column, id_col: str = "doc
     counts = cut(asked.groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     learned_docs = rows.filter("learned").count()
-    asked_grams = chunks.mapInArrow(_gram_counts, "gram long, chunk long, n long")
-    costs = cut(gram_costs(cut(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")))))
-    words_answered = asked.join(loose(counts, "word"), "word").select("chunk", F.lit(False).alias("is_gram"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
-    grams_answered = asked_grams.join(loose(costs, "gram"), "gram").select("chunk", F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.col("cost").alias("value"))
-    run = _score(int(total + learned_docs), int(distinct + (learned_docs > 0)), int(learned_docs))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return words_answered.union(grams_answered).groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(run, schema)
+    answered = asked.join(loose(counts, "word"), "word").select("chunk", F.lit(False).alias("is_gram"), F.col("word").alias("key"), F.col("c").cast("double").alias("value"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+    if model:
+        asked_grams = chunks.mapInArrow(_gram_counts, "gram long, chunk long, n long")
+        costs = cut(gram_costs(cut(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")))))
+        answered = answered.union(asked_grams.join(loose(costs, "gram"), "gram").select("chunk", F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.col("cost").alias("value")))
+        schema += ", score double, bits_per_byte double"
+    run = _score(int(total + learned_docs), int(distinct + (learned_docs > 0)), int(learned_docs), model)
+    return answered.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(run, schema)
